@@ -33,6 +33,24 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op8_decontaminate, op9_tiff)}
+def _scored(found: DataFrame, cut: float, folds: int = 5) -> DataFrame:
+    return found.select("doc_id", (common.fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = common.table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, toxicity.fit(docs, common.table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = common.table(spark, sf_dir, "documents")
+    return _scored(quality.score(docs, quality.fit(docs, common.table(spark, sf_dir, "labels"))), 0.3)
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_toxicity, op8_decontaminate, op9_tiff, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
