@@ -33,6 +33,12 @@ def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(common.table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.find(common.table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def _scored(found: DataFrame, cut: float, folds: int = 5) -> DataFrame:
     return found.select("doc_id", (common.fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
@@ -51,6 +57,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, quality.fit(docs, common.table(spark, sf_dir, "labels"))), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op4_toxicity, op8_decontaminate, op9_tiff, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_toxicity, op8_decontaminate, op9_tiff, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
