@@ -20,6 +20,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(common.table(spark, sf_dir, "documents"), *_vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    folder = common.new_folder(spark, "warc")
+    index = warc.write(common.table(spark, sf_dir, "pages"), folder)
+    return warc.read(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import tokenfile
+
+    folder = common.new_folder(spark, "tokens")
+    return tokenfile.summary(tokenfile.write(common.table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json")[0]), folder)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -57,6 +72,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, quality.fit(docs, common.table(spark, sf_dir, "labels"))), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_toxicity, op8_decontaminate, op9_tiff, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_toxicity, op5_warc, op6_token_files, op8_decontaminate, op9_tiff, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
