@@ -35,6 +35,13 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.summary(tokenfile.write(common.table(spark, sf_dir, "documents"), folder, _vocabulary("word_bpe_49k.json")[0]), folder)
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    found = lm.score(common.table(spark, sf_dir, "documents"), lambda i: common.fold(i, 7) != 2)
+    return found.select("doc_id", (common.fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -72,6 +79,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, quality.fit(docs, common.table(spark, sf_dir, "labels"))), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_toxicity, op5_warc, op6_token_files, op8_decontaminate, op9_tiff, op10_quality)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_toxicity, op5_warc, op6_token_files, op7_language_model, op8_decontaminate, op9_tiff, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
