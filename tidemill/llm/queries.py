@@ -14,6 +14,12 @@ def _vocabulary(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"), size=2)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
@@ -79,6 +85,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(docs, quality.fit(docs, common.table(spark, sf_dir, "labels"))), 0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_pii, op4_toxicity, op5_warc, op6_token_files, op7_language_model, op8_decontaminate, op9_tiff, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_byte_bpe, op3_pii, op4_toxicity, op5_warc, op6_token_files, op7_language_model, op8_decontaminate, op9_tiff, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}
