@@ -1 +1 @@
-
+"""DDL, INSERT and SELECT front-end."""

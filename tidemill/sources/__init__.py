@@ -1 +1 @@
-
+"""Readers, stores, formats and sinks of declared tables."""
