@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, oracles
 
 
 def _vocabulary(name: str) -> tuple[str, str]:
@@ -87,4 +87,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_byte_bpe, op3_pii, op4_toxicity, op5_warc, op6_token_files, op7_language_model, op8_decontaminate, op9_tiff, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": oracles.MINHASH, "op5_warc": oracles.WARC, "op8_decontaminate": oracles.DECONTAMINATE}
