@@ -45,7 +45,7 @@ def join_with_defaults(left: DataFrame, right: DataFrame, left_key: str, right_k
 
 
 def _parts(text: str) -> Column:
-    return F.transform(F.split(F.nullif(F.col(f"`{text}`").cast("string"), F.lit("")), ","), F.trim)
+    return F.transform(F.split(F.nullif(F.col(f"`{text}`").cast("string"), F.lit("")), ","), lambda x: F.trim(x))
 
 
 def explode_text(df: DataFrame, column: str, alias: str, outer: bool = False, position: str | None = None) -> DataFrame:
