@@ -415,6 +415,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """docs, with all its columns, with one document of each group; rows without an id stay, of rows that share an id one stays."""
-    gone = near_duplicates(docs, id_col, text_col, size, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
-    rest = docs.join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, size, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone_id")).distinct()
+    rest = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
     return rest.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

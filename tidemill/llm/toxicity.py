@@ -40,6 +40,7 @@ from . import common
 from .decontaminate import original_spans, words_of
 
 MAX_LABELLED, MIN_DOCS, MIN_ODDS, LOWER, MAX_TOKENS, PRIOR, GAP, MAX_E = 12_000, 5, 1.0, 1.64, 50_000, 10_000.0, 0.1, 0.05
+PRIOR_SHARE = 0.02  # of all words, where that is less than PRIOR
 STEMS = (5, 6, 7, 8)
 
 
@@ -186,8 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     t, tally_place = common.keep(common.map_batches(rows.where("part > 0").select("text", "label"), tally, "word binary, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where(F.col("t") + F.col("c") >= MIN_DOCS), "tally")
     all_words = t.where(F.length("word") == 0).first()
     w1, w0 = (float(all_words.t), float(all_words.c)) if all_words else (1.0, 1.0)
-    t = t.where(F.length("word") > 0).withColumn("a", (F.col("t") + F.col("c")) / (w1 + w0) * PRIOR)
-    odds = lambda x, n: F.log((F.col(x) + F.col("a")) / (F.lit(n + PRIOR) - F.col(x) - F.col("a")))
+    prior = min(PRIOR, PRIOR_SHARE * (w1 + w0))
+    t = t.where(F.length("word") > 0).withColumn("a", (F.col("t") + F.col("c")) / (w1 + w0) * prior)
+    odds = lambda x, n: F.log((F.col(x) + F.col("a")) / (F.lit(n + prior) - F.col(x) - F.col("a")))
     t = t.withColumn("d", odds("t", w1) - odds("c", w0) - LOWER * F.sqrt(1 / (F.col("t") + F.col("a")) + 1 / (F.col("c") + F.col("a"))))
     kept = t.where(F.col("d") >= MIN_ODDS).orderBy(F.desc("d"), "word").limit(MAX_TOKENS).select("word", "d", "a", "c").collect()
     common.drop_folder(spark, tally_place)
