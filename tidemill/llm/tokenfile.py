@@ -37,10 +37,20 @@ from pyspark.sql import functions as F
 from . import common
 from .warc import _stream
 
-MAGIC, BLOCK, CACHE = b"S8BTOK01", 1 << 16, 600_000
+MAGIC, BLOCK, CACHE = b"S8BTOK01", 1 << 16, 1_000_000
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
+_LIMITS = np.array([1 << int(w) for w in WIDTHS[1:]], np.uint64)
+
+
+def _selectors(x: np.ndarray) -> np.ndarray:
+    """The first selector whose width holds each id; 16 where none does."""
+    return (np.searchsorted(_LIMITS, x, side="right") + 1).astype(np.uint8)
+
+
+_SHORT = _selectors(np.arange(1 << 16, dtype=np.uint64))
+
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escapes of the ids of one block."""
@@ -49,15 +59,19 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     # the selector with most ids that fits from every place on
-    sel = np.where(x < np.uint64(1 << 60), 15, 0).astype(np.int8)
+    bits = _SHORT[x] if int(x.max()) < len(_SHORT) else _selectors(x)
+    sel = np.where(bits <= 15, 15, 0).astype(np.int8)
     for s in range(14, 0, -1):
         c = int(COUNTS[s])
-        small = x < np.uint64(1 << int(WIDTHS[s]))
-        if c > n or not small.any():
+        row = bits <= s
+        if c > n:
             break
-        # places from which c ids in a row are small
-        wrong = np.concatenate([[0], np.cumsum(~small, dtype=np.int32)])
-        fits = np.flatnonzero(wrong[c:] == wrong[:-c])
+        have = 1  # row[i] tells whether the `have` ids from i on are narrow enough
+        while have < c and len(row):
+            more = min(have, c - have)
+            row = row[: len(row) - more] & row[more:]
+            have += more
+        fits = np.flatnonzero(row)
         if not len(fits) and s < 13:
             break
         sel[fits] = s
