@@ -96,19 +96,32 @@ def _percentile(x: str, p: str, *_: str) -> str:
     return f"percentile(cast({x} as double), cast({p} as double)){{over}}"
 
 
+def _number(e: str) -> str:
+    """Up to six decimals, without zeros at the end."""
+    return f"regexp_replace(cast(cast(round({e}, 6) as decimal(38, 6)) as string), '\\\\.?0+$', '')"
+
+
 def histogram(x: str, n: str) -> str:
-    """[[lo-hi:n],...] over n buckets of equal width between the least and the largest value, the last one closed; [[v,n]] for a single value. One pass over a map of values and their counts would need every value in one place, so the buckets come from the partial aggregation of distinct values."""
+    """[[lo-hi:n],...] over n buckets of equal width between the least and the largest value, the last one closed; [[v,n]] for a single value. This form keeps a group's values in one place; where the query's form allows it, histogram_from_ends goes instead."""
     v = f"array_sort(collect_list(cast({x} as double)){{over}})"
     lo, hi = "element_at(h, 1)", "element_at(h, -1)"
     b = f"cast({n} as int)"
-    number = lambda e: f"regexp_replace(cast(cast(round({e}, 6) as decimal(38, 6)) as string), '\\\\.?0+$', '')"
     width = f"(({hi} - {lo}) / {b})"
-    row = f"concat('[', {number(f'{lo} + i * {width}')}, '-', {number(f'{lo} + (i + 1) * {width}')}, ':', cast(size(filter(h, e -> least(cast(floor((e - {lo}) / {width}) as int), {b} - 1) = i)) as string), ']')"
+    row = f"concat('[', {_number(f'{lo} + i * {width}')}, '-', {_number(f'{lo} + (i + 1) * {width}')}, ':', cast(size(filter(h, e -> least(cast(floor((e - {lo}) / {width}) as int), {b} - 1) = i)) as string), ']')"
     many = f"concat('[', array_join(transform(sequence(0, {b} - 1), i -> {row}), ','), ']')"
-    one = f"concat('[[', {number(lo)}, ',', cast(size(h) as string), ']]')"
+    one = f"concat('[[', {_number(lo)}, ',', cast(size(h) as string), ']]')"
     return f"element_at(transform(array({v}), h -> CASE WHEN size(h) = 0 THEN '[]' WHEN {lo} = {hi} THEN {one} ELSE {many} END), 1)"
 
 
+def histogram_from_ends(x: str, n: int, lo: str, hi: str) -> str:
+    """The same, from columns with the group's least and largest value: a partial aggregation of n counts."""
+    v, a, b = f"cast({x} as double)", f"max({lo})", f"max({hi})"
+    at = f"least(cast(floor(({v} - {lo}) / nullif(({hi} - {lo}) / {n}, 0)) as int), {n - 1})"
+    width = f"(({b} - {a}) / {n})"
+    rows = ", ".join(f"concat('[', {_number(f'{a} + {k} * {width}')}, '-', {_number(f'{a} + {k + 1} * {width}')}, ':', cast(count_if({at} = {k}) as string), ']')" for k in range(n))
+    return f"(CASE WHEN {a} IS NULL THEN '[]' WHEN {a} = {b} THEN concat('[[', {_number(a)}, ',', cast(count({v}) as string), ']]') ELSE concat('[', concat_ws(',', {rows}), ']') END)"
+
+
 def _trunc(x: str, unit: str = "'DD'") -> str:
     d = moment(x)
     u = f"upper({unit})"
