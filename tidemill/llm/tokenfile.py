@@ -16,7 +16,8 @@ of the whole; the manifest (one row a file) gives each file's first position by
 running sum over files.
 
 Defined results: null and empty texts have the end id only; null document ids come
-first; rows with equal ids are ordered by their text; an empty table gives no file
+first; rows with equal ids are in the order of a hash of their text, so that very
+many of them are still in more than one range; an empty table gives no file
 and no row; document ids are whole numbers.
 """
 
@@ -268,7 +269,7 @@ MANIFEST = "part int, file string, n_ids long, n_docs long"
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 1, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and write every text, in ascending order of ids; returns the manifest: part, file, n_ids, n_docs, start."""
     spark = docs.sparkSession
-    rows = common.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = common.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     fs, path = _stream(folder)
     fs.create_dir(path, recursive=True)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
