@@ -95,6 +95,33 @@ def test_large_stars_are_split(spark, monkeypatch):
     assert got == brute_components(docs, 2, 80)
 
 
+@pytest.mark.parametrize("size", [7, 40])
+def test_lists_over_batches(size):
+    """Lists come whole, or in parts that are marked, however the batches fall."""
+    import pyarrow as pa
+
+    r = random.Random(size)
+    rows = sorted((r.randrange(12) // 3, -1 if r.random() < 0.8 else r.randrange(2), k) for k in range(300))
+    rows = sorted(rows)
+    cells = [pa.RecordBatch.from_pydict({"code": pa.array([x[0] for x in part], pa.int64()), "part": pa.array([x[1] for x in part], pa.int32()), "rep": pa.array([x[2] for x in part], pa.int64()), "bits": pa.array([bytes(32)] * len(part), pa.binary())}) for a in range(0, 300, 13) for part in [rows[a : a + 13]]]
+    got = list(minhash._runs(iter(cells), size))
+    seen = collections.Counter()
+    for whole, code, part, rep, _ in got:
+        assert len(set(zip(code.tolist(), part.tolist()))) == 1
+        key = (int(code[0]), int(part[0]))
+        n = sum((a, b) == key for a, b, _ in rows)
+        assert whole == (len(rep) == n)
+        seen.update(rep.tolist())
+    assert seen == collections.Counter(k for _, _, k in rows)
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    a, b = [" ".join(f"{x}{k}" for k in range(30)) for x in "ab"]
+    docs = [(1, a), (2, b), (5, a + " z"), (5, b + " z"), (9, "else")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 9: 9}
+
+
 def test_matches_needed():
     k = minhash.matches_needed(0.8)
     assert sum(math.comb(64, t) * 0.8**t * 0.2 ** (64 - t) for t in range(k)) <= 1e-7 < sum(math.comb(64, t) * 0.8**t * 0.2 ** (64 - t) for t in range(k + 1))

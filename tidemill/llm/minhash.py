@@ -175,15 +175,17 @@ def _post(codes: np.ndarray, counts: np.ndarray, prefix: int):
             packed = nib[:, : COORDINATES // 2] | (nib[:, COORDINATES // 2 :] << 4)
             rep = np.repeat(batch.column(0).to_numpy(), x.shape[1])
             rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES // 2), len(rep), [None, pa.py_buffer(np.repeat(packed, x.shape[1], axis=0).tobytes())]).cast(pa.binary())
-            part = (seen.ravel() // LIST > 0) * (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % np.maximum(1, seen.ravel() // LIST + 1)
+            parts = seen.ravel() // LIST + 1
+            part = np.where(parts > 1, (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % parts, -1)
             yield pa.RecordBatch.from_pydict({"code": pa.array(x.ravel()), "part": pa.array(part.astype(np.int32)), "rep": pa.array(rep), "bits": rows})
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
-    """Rows of one list at a time, for lists of two and more, as columns (keys, ..., bits); a list of more than `most` rows comes in parts. The first two columns are the list's key, the last is bits."""
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple]:
+    """Rows of one list at a time, for lists of two and more rows or with a part number, as (whether it is all of a list or part, keys, ..., bits); a list of more than `most` rows comes in parts. The first two columns are the list's key, the last is bits."""
     rest: list[np.ndarray] | None = None
+    cut = False  # whether earlier rows of the list at hand have been given out
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -191,32 +193,28 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple]:
         if rest is not None:
             now = [np.concatenate([a, b]) for a, b in zip(rest, now)]
         k1, k2 = now[0], now[1]
-        cuts = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
-        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k1)]])
-        whole = starts[:-1]
-        long = np.flatnonzero(ends[:-1] - whole > 1)
-        for k in long:
-            yield from _parts([c[starts[k] : ends[k]] for c in now], most)
+        edges = np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1
+        starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(k1)]])
+        long = ends[:-1] - starts[:-1] > 1
+        if most:
+            long |= k2[starts[:-1]] >= 0
+            long[:1] |= cut
+        for k in np.flatnonzero(long):
+            yield not (cut and k == 0), *(c[starts[k] : ends[k]] for c in now)
         last = int(starts[-1])
+        cut = cut and last == 0
         rest = [c[last:] for c in now]
-        if len(rest[0]) > most:
-            yield tuple(c[:most] for c in rest)
-            rest = [c[most:] for c in rest]
-    if rest is not None and len(rest[0]) > 1:
-        yield from _parts(rest, most)
-
-
-def _parts(columns: list[np.ndarray], most: int) -> Iterator[tuple]:
-    for a in range(0, len(columns[0]), most):
-        part = tuple(c[a : a + most] for c in columns)
-        if len(part[0]) > 1:
-            yield part
+        while most and len(rest[0]) > most:  # the next rows may belong to it too
+            yield False, *(c[:most] for c in rest)
+            rest, cut = [c[most:] for c in rest], True
+    if rest is not None and len(rest[0]) and (len(rest[0]) > 1 or cut or most and rest[1][0] >= 0):
+        yield not cut, *rest
 
 
 def _stars(need: int):
     """Per list: (centre, member, agreements) pairs, and the rows that have a candidate partner in it."""
 
-    def one(rep: np.ndarray, bits: np.ndarray):
+    def one(rep: np.ndarray, bits: np.ndarray, whole: bool):
         codes = _codes(bits)
         m = len(rep)
         paired = np.zeros(m, bool)
@@ -233,6 +231,9 @@ def _stars(need: int):
                 paired[c] = paired[got] = True
                 pairs.append((np.full(len(got), rep[c]), rep[got], n[hit]))
             left = left[1:][~hit]
+        if not whole:  # a partner may be in another part of the list
+            paired[:] = True
+            return pairs, paired
         if len(left) > 1:  # what the centres don't reach may still pair among itself
             paired[left] = True
         # the members that a centre took may pair with the ones that it didn't
@@ -253,12 +254,8 @@ def _stars(need: int):
             c = [np.concatenate(x) for x in zip(*(o[:5] for o in out))]
             return pa.RecordBatch.from_arrays([*(pa.array(x) for x in c), pa.array([b for o in out for b in o[5]], pa.binary())], names=["kind", "code", "u", "w", "n", "bits"])
 
-        for code, _, rep, bits in _runs(batches, LIST):
-            keep = np.concatenate([[True], rep[1:] != rep[:-1]])
-            rep, bits = rep[keep], bits[keep]
-            if len(rep) < 2:
-                continue
-            pairs, paired = one(rep, bits)
+        for whole, code, part, rep, bits in _runs(batches, LIST):
+            pairs, paired = one(rep, bits, whole and part[0] < 0)
             for u, w, n in pairs:
                 differ = u != w
                 k = int(differ.sum())
@@ -282,7 +279,7 @@ def _across(need: int, every: bool):
     """Per list: candidate pairs of different components; the best for each two components, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, rep, root, bits in _runs(batches, 4 * LIST):
+        for _, _, _, rep, root, bits in _runs(batches, None):
             codes = _codes(bits)
             # the largest component is only held against the others
             values, inverse, sizes = np.unique(root, return_inverse=True, return_counts=True)
@@ -307,16 +304,16 @@ def _confirm(size: int, percent: int):
     """Rows (centre, part, member, text), a centre's own row first: pairs whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, centre = None, None
+        at, centres = None, []  # rows that share the centre's id are all of it
         for batch in batches:
             us, ws = [], []
             for u, part, w, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingle_set(text, size)
                 if (u, part) != at:
-                    at, centre = (u, part), s
-                elif u == w:
-                    centre = s  # a repeated row of the centre
-                if u != w and similar(centre, s, percent):
+                    at, centres = (u, part), []
+                if u == w:
+                    centres.append(s)
+                elif any(similar(c, s, percent) for c in centres):
                     us.append(u)
                     ws.append(w)
             yield pa.RecordBatch.from_pydict({"a": pa.array(us, pa.int64()), "b": pa.array(ws, pa.int64())})
@@ -355,8 +352,10 @@ class _Job:
     def run(self) -> DataFrame:
         docs = common.map_rows(self.docs, _describe(self.size), "doc_id long, n long, print binary, sig binary")
         described = self.keep(docs, "described", common.BATCH_ROWS)
+        self.described = self.places[-1]
         linked = described.where("doc_id is not null and n > 0")
         reps = self.keep(linked.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+        self.classes = self.places[-1]
         classes = reps.count()
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
         hot = max(HOT_LEAST, int(classes * HOT_SHARE))
@@ -371,22 +370,20 @@ class _Job:
         tried = self.keep(chosen.select(F.explode(F.array_distinct(F.array("first", "best"))).alias("u"), "w"), "tried")
         live = found.where("kind = 1").select("code", F.col("u").alias("rep"), "bits")
         links = self.links(tried)
-        roots = None
+        roots, place = graph.components(links)
         for every in (False, True):
-            roots, place = graph.components(links)
-            self.places.append(place)
             new = self.cross(live, graph.with_roots(roots), tried, every)
             if new.isEmpty():
-                if every:
-                    break
                 continue
             more = self.links(new)
             tried = tried.union(new)
             if not more.isEmpty():
                 links = links.union(more)
-                if every:
-                    roots, place = graph.components(links)
-                    self.places.append(place)
+                self.places.append(place)
+                roots, place = graph.components(links)
+        for p in self.places:
+            if p not in (self.described, self.classes):
+                common.drop_folder(self.spark, p)
         node = described.join(reps.select("print", "rep"), "print", "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
         # rows that share an id are one node: their classes are linked by it
         out = node.join(roots, F.col("rep") == F.col("node"), "left")
