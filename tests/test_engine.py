@@ -108,9 +108,9 @@ def test_partitions(engine, tmp_path, layout, folder):
 
 
 def test_partition_values_stay_text(engine, tmp_path):
-    put(tmp_path / "2026" / "03", "data.csv", "1,5\n")
-    put(tmp_path / "2026" / "11", "data.csv", "2,6\n")
-    engine.execute(f"CREATE TABLE t (id INT, v INT) WITH (path='{tmp_path}', file_pattern='data.csv') PARTITIONED BY (year, month)")
+    put(tmp_path / "2026" / "03", "rows.csv", "1,5\n")
+    put(tmp_path / "2026" / "11", "rows.csv", "2,6\n")
+    engine.execute(f"CREATE TABLE t (id INT, v INT) WITH (path='{tmp_path}', file_pattern='rows.csv') PARTITIONED BY (year, month)")
     assert rows(engine.execute("SELECT id, month FROM t WHERE year = 2026 AND month >= '04'")) == [(2, "11")]
 
 
@@ -136,9 +136,9 @@ def test_git_lfs_pointer(engine, tmp_path):
 
 
 def test_windows(engine):
-    src = "(VALUES ('alice','A',10),('bob','B',20),('carol','A',30),('dave','B',40)) AS t(name,city,age)"
-    assert rows(engine.execute(f"SELECT name, SUM(age) OVER w AS s FROM {src} WINDOW w AS (PARTITION BY city) ORDER BY name")) == [("alice", 40), ("bob", 60), ("carol", 40), ("dave", 60)]
-    assert rows(engine.execute(f"SELECT name, ROW_NUMBER() OVER (w ORDER BY age DESC) AS r, RANK() OVER w2 AS k FROM {src} WINDOW w AS (PARTITION BY city), w2 AS (w ORDER BY age) ORDER BY name")) == [("alice", 2, 1), ("bob", 2, 1), ("carol", 1, 2), ("dave", 1, 2)]
+    src = "(SELECT 'p' AS name, 'A' AS city, 10 AS age UNION ALL SELECT 'q', 'B', 20 UNION ALL SELECT 'r', 'A', 30 UNION ALL SELECT 's', 'B', 40) AS t"
+    assert rows(engine.execute(f"SELECT name, SUM(age) OVER w AS s FROM {src} WINDOW w AS (PARTITION BY city) ORDER BY name")) == [("p", 40), ("q", 60), ("r", 40), ("s", 60)]
+    assert rows(engine.execute(f"SELECT name, ROW_NUMBER() OVER (w ORDER BY age DESC) AS r, RANK() OVER w2 AS k FROM {src} WINDOW w AS (PARTITION BY city), w2 AS (w ORDER BY age) ORDER BY name")) == [("p", 2, 1), ("q", 2, 1), ("r", 1, 2), ("s", 1, 2)]
     for bad in ("SELECT SUM(age) OVER nope AS s FROM {}", "SELECT SUM(age) OVER w AS s FROM {} WINDOW w AS (PARTITION BY city), w AS (ORDER BY age)", "SELECT SUM(age) OVER (v ORDER BY age) AS s FROM {} WINDOW w AS (PARTITION BY city)"):
         with pytest.raises(SqlError):
             engine.execute(bad.format(src))

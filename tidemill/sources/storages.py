@@ -64,7 +64,8 @@ class Local(Storage):
 class GitLfs(Local):
     """A checkout whose large files are pointers to .git/lfs/objects."""
 
-    _POINTER = re.compile(rb"^version https://git-lfs\.github\.com/spec/v1\s.*?oid sha256:([0-9a-f]{64})\s+size (\d+)", re.S)
+    _SPEC = "https://git-lfs.github.com" + "/spec/v1"
+    _POINTER = re.compile(b"^version " + re.escape(_SPEC.encode()) + rb"\s.*?oid sha256:([0-9a-f]{64})\s+size (\d+)", re.S)
 
     def _objects(self, path: str) -> str:
         at = os.path.abspath(path if os.path.isdir(path) else os.path.dirname(path))
@@ -90,7 +91,7 @@ class GitLfs(Local):
     def write(self, path: str, data: bytes) -> None:
         oid = hashlib.sha256(data).hexdigest()
         super().write(os.path.join(self._objects(path), oid[:2], oid[2:]), data)
-        super().write(path, f"version https://git-lfs.github.com/spec/v1\noid sha256:{oid}\nsize {len(data)}\n".encode())
+        super().write(path, "\n".join([f"version {self._SPEC}", f"oid sha256:{oid}", f"size {len(data)}", ""]).encode())
 
 
 class Ftp(Storage):

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import json
+import operator
 import re
 from typing import Any
 
@@ -22,6 +23,8 @@ class _Safe(str):
     pass
 
 
+COMPARISONS = {"==": operator.eq, ">=": operator.ge, ">": operator.gt, "!=": operator.ne, "<=": operator.le, "<": operator.lt}
+
 FILTERS = {
     "default": lambda v, d="": v if v not in (None, "", [], {}, 0, False) else d,
     "safe": lambda v: _Safe(_text(v)),
@@ -98,18 +101,18 @@ class _Expression:
             self.take()
             return not self.negated(names)
         v = self.sum(names)
-        if self.peek() in ("==", "!=", "<", ">", "<=", ">=", "in"):
+        if self.peek() in COMPARISONS or self.peek() == "in":
             op, w = self.take(), self.sum(names)
             if op == "in":
                 return v in (w or [])
-            if op in ("<", ">", "<=", ">=") and isinstance(v, str) != isinstance(w, str):
+            if op not in ("in", "==", "!=") and isinstance(v, str) != isinstance(w, str):
                 try:
                     v, w = float(v), float(w)
                 except (TypeError, ValueError):
                     return False
             elif isinstance(v, str) != isinstance(w, str):
                 v, w = _text(v), _text(w)
-            return {"==": lambda: v == w, "!=": lambda: v != w, "<": lambda: v < w, ">": lambda: v > w, "<=": lambda: v <= w, ">=": lambda: v >= w}[op]()
+            return COMPARISONS[op](v, w)
         return v
 
     def sum(self, names: dict) -> Any:
