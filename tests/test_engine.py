@@ -47,6 +47,13 @@ def test_outer_joins_fill_by_type(joined):
     assert sorted(rows(joined.execute("SELECT * FROM c FULL JOIN o ON c.id = o.cid WHERE amount = 0 OR name IS NULL OR name = ''"))) == [(0, "", "", 14, 9, 999), (4, "Dee", "X", 0, 0, 0), (5, "Eve", "Y", 0, 0, 0)]
 
 
+def test_order_by_over_an_outer_join(joined):
+    assert rows(joined.execute("SELECT c.city AS name, COUNT(*) AS n, SUM(o.amount) AS s FROM c LEFT JOIN o ON c.id = o.cid GROUP BY c.city ORDER BY name DESC")) == [("Z", 1, 250), ("Y", 2, 300), ("X", 3, 650)]
+    assert rows(joined.execute("SELECT DISTINCT c.city FROM c LEFT JOIN o ON c.id = o.cid ORDER BY c.city LIMIT 2")) == [("X",), ("Y",)]
+    assert rows(joined.execute("SELECT c.*, o.amount FROM c LEFT JOIN o ON c.id = o.cid WHERE o.oid > 0 ORDER BY o.oid DESC LIMIT 1")) == [(3, "Cid", "Z", 250)]
+    assert rows(joined.execute("SELECT name FROM c LEFT JOIN o ON c.id = o.cid WHERE c.id IN (SELECT cid FROM o WHERE amount > 400) AND amount / 0 IS NULL ORDER BY amount")) == [("Ann",), ("Ann",)]
+
+
 def test_declared_default_wins_in_outer_join(engine, tmp_path):
     put(tmp_path / "l", "a.csv", "1\n2\n")
     put(tmp_path / "r", "a.csv", "1,5,ok,\n")

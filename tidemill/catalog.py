@@ -10,7 +10,6 @@ from .plans.rewrite import default_literal
 
 TYPES = {"INT": "int", "INTEGER": "int", "BIGINT": "bigint", "LONG": "bigint", "SMALLINT": "smallint", "TINYINT": "tinyint", "FLOAT": "float", "DOUBLE": "double", "REAL": "double", "DECIMAL": "decimal(38,18)", "NUMERIC": "decimal(38,18)", "STRING": "string", "VARCHAR": "string", "CHAR": "string", "TEXT": "string", "BOOLEAN": "boolean", "BOOL": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
 PORTS = {"ftp": "21", "sftp": "22", "mysql": "3306", "postgres": "5432"}
-DATABASES = ("mysql", "postgres", "sqlite")
 
 
 def spark_type(declared: str) -> str:

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import Table, spark_type
+from ..catalog import PORTS, Table, spark_type
 from ..plans.rewrite import default_literal
 from . import datasources
 from .storages import GitLfs, storage
@@ -25,6 +25,12 @@ _EXT = {"csv": "csv", "json": "json", "xlsx": "xlsx"}
 _JDBC = {"mysql": "jdbc:mysql", "postgres": "jdbc:postgresql"}
 
 
+def register_database(name: str, jdbc_prefix: str, port: str) -> None:
+    """Add a database that Spark reaches over JDBC; its driver must be on the class path."""
+    _JDBC[name.lower()] = jdbc_prefix
+    PORTS[name.lower()] = port
+
+
 class NoFiles(FileNotFoundError):
     """A table without a file to read."""
 
@@ -53,7 +59,7 @@ def is_bare(t: Table) -> bool:
 
 
 def load(spark: SparkSession, t: Table) -> DataFrame:
-    if t.storage in ("mysql", "postgres"):
+    if t.storage in _JDBC:
         return _typed(t, _jdbc(spark, t))
     if t.storage == "sqlite":
         datasources.register(spark)
@@ -145,6 +151,10 @@ def _by_file(spark: SparkSession, t: Table) -> DataFrame:
     return _typed(t, df, F.col("__cells"))
 
 
+def is_jdbc(t: Table) -> bool:
+    return t.storage in _JDBC
+
+
 def jdbc_options(t: Table) -> dict[str, str]:
     o = t.options
     url = f"{_JDBC[t.storage]}://{o.get('host', 'localhost')}:{o.get('port')}/{o.get('database', '')}"

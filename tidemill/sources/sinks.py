@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 
 from ..catalog import Table, spark_type
 from .formats import write_csv, write_json, write_xlsx
-from .readers import base_of, jdbc_options
+from .readers import base_of, is_jdbc, jdbc_options
 from .storages import storage
 
 _SQLITE = {"int": "INTEGER", "bigint": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "boolean": "INTEGER", "float": "REAL", "double": "REAL"}
 
 
 def write(df: DataFrame, t: Table, overwrite: bool) -> None:
-    if t.storage in ("mysql", "postgres"):
+    if is_jdbc(t):
         w = df.write.format("jdbc").options(**jdbc_options(t)).option("dbtable", t.options.get("table_name") or t.name)
         (w.option("truncate", "true").mode("overwrite") if overwrite else w.mode("append")).save()
     elif t.storage == "sqlite":

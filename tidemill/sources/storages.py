@@ -252,6 +252,11 @@ class Lark(Storage):
 STORAGES: dict[str, Callable[[dict[str, str]], Storage]] = {"local": Local, "gitlfs": GitLfs, "ftp": Ftp, "sftp": Sftp, "webdav": WebDav, "lark": Lark}
 
 
+def register_storage(name: str, make: Callable[[dict[str, str]], Storage]) -> None:
+    """Add a store, or take another one for a name. Workers import `make` by its module."""
+    STORAGES[name.lower()] = make
+
+
 def storage(options: dict[str, str]) -> Storage:
     kind = options.get("storage", "local").lower()
     if kind not in STORAGES:
