@@ -162,6 +162,15 @@ def test_lateral_views(engine):
     assert rows(engine.execute("SELECT p, v, w FROM (VALUES (1,'a,b','c')) AS t(id,m,n) LATERAL VIEW POSEXPLODE(m) x AS p, v LATERAL VIEW EXPLODE(n) y AS w")) == [(0, "a", "c"), (1, "b", "c")]
 
 
+def test_names_of_calls_without_alias(engine):
+    assert engine.execute("SELECT SUM(x), COUNT(*), x AS y, RANK() OVER (ORDER BY x) FROM (SELECT 1 AS x) AS t GROUP BY x").columns == ["SUM(x)", "COUNT(*)", "y", "RANK() OVER (ORDER BY x)"]
+
+
+def test_option_values_over_lines(engine, tmp_path):
+    engine.execute(f"CREATE TABLE t (id INT) WITH (path=`{tmp_path}`, note=`a\n-- b;\nc`, n=5)")
+    assert engine.catalog.get("t").options["note"] == "a\n-- b;\nc" and engine.catalog.get("t").options["n"] == "5"
+
+
 def test_aggregates_of_few_rows(engine):
     assert rows(engine.execute("SELECT STDDEV_SAMP(x) AS a, VAR_SAMP(x) AS b, STDDEV(x) AS c, COVAR_SAMP(x, x) AS d, CORR(x, x) AS e, COLLECT_SET(x) AS f, HISTOGRAM_NUMERIC(x, 3) AS g FROM (VALUES (4)) AS t(x)")) == [(0.0, 0.0, 0.0, 0.0, 0.0, "[4]", "[[4,1]]")]
     assert rows(engine.execute("SELECT SUM(x) AS s, AVG(x) AS a, COUNT(*) AS n FROM (VALUES (1)) AS t(x) WHERE x > 1")) == [(0, 0.0, 0)]

@@ -47,6 +47,15 @@ def base_of(t: Table) -> str:
     return path.removeprefix("local://")
 
 
+def hadoop_options(t: Table) -> dict[str, str]:
+    """What an S3 table's options say, as Hadoop takes it; Spark hands reader and writer options on."""
+    if t.storage != "s3":
+        return {}
+    o = t.options
+    named = {"endpoint": "endpoint", "region": "endpoint.region", "access_key": "access.key", "access_secret": "secret.key", "use_path_style": "path.style.access"}
+    return {f"fs.s3a.{k2}": o[k] for k, k2 in named.items() if o.get(k)}
+
+
 def is_bare(t: Table) -> bool:
     """Whether partition folders carry values only."""
     if t.options.get("partition_format", "").lower() == "value":
@@ -119,7 +128,7 @@ def _native(spark: SparkSession, t: Table) -> DataFrame:
     if depth and not bare:
         schema += "".join(f", `{p}` string" for p in t.partitions)
         reader = reader.option("basePath", os.path.abspath(base) if t.storage == "local" else base)
-    df = getattr(reader.schema(schema), t.format)(paths)
+    df = getattr(reader.options(**hadoop_options(t)).schema(schema), t.format)(paths)
     if bare:  # values from the path; filters on them prune files
         for k, p in enumerate(t.partitions):
             df = df.withColumn(p, F.element_at(F.split(F.col("_metadata.file_path"), "/"), k - depth - 1))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from ..catalog import Table, spark_type
 from .formats import write_csv, write_json, write_xlsx
-from .readers import base_of, is_jdbc, jdbc_options
+from .readers import base_of, hadoop_options, is_jdbc, jdbc_options
 from .storages import storage
 
 _SQLITE = {"int": "INTEGER", "bigint": "INTEGER", "smallint": "INTEGER", "tinyint": "INTEGER", "boolean": "INTEGER", "float": "REAL", "double": "REAL"}
@@ -42,7 +42,7 @@ def write(df: DataFrame, t: Table, overwrite: bool) -> None:
 
 
 def _writer(df: DataFrame, t: Table):
-    w = df.write
+    w = df.write.options(**hadoop_options(t))
     if t.format == "csv":
         w = w.options(sep=(t.options.get("delimiter") or ",").encode().decode("unicode_escape"), header=_header(t), emptyValue="", nullValue="", escape='"')
     return w
