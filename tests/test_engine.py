@@ -58,7 +58,10 @@ def test_declared_default_wins_in_outer_join(engine, tmp_path):
     put(tmp_path / "l", "a.csv", "1\n2\n")
     put(tmp_path / "r", "a.csv", "1,5,ok,\n")
     engine.execute(f"CREATE TABLE l (id INT) WITH (path='{tmp_path}/l'); CREATE TABLE r (lid INT, amt INT DEFAULT -7, note STRING DEFAULT 'missing', code INT) WITH (path='{tmp_path}/r')")
-    assert rows(engine.execute("SELECT l.id, amt, note, code FROM l LEFT JOIN r ON l.id = r.lid ORDER BY l.id")) == [(1, 5, "ok", None), (2, -7, "missing", 0)]
+    want = [(1, 5, "ok", None), (2, -7, "missing", 0)]
+    assert rows(engine.execute("SELECT l.id, amt, note, code FROM l LEFT JOIN r ON l.id = r.lid ORDER BY l.id")) == want
+    assert rows(engine.execute("WITH x AS (SELECT id FROM l) SELECT x.id, amt, note, code FROM x LEFT JOIN r ON x.id = r.lid ORDER BY x.id")) == want
+    assert rows(engine.execute("SELECT l.id, s.m FROM l LEFT JOIN (SELECT lid, MAX(amt) AS m FROM r GROUP BY lid) AS s ON l.id = s.lid ORDER BY l.id")) == [(1, 5), (2, 0)]
 
 
 def test_second_join_sees_filled_values(engine):
