@@ -204,6 +204,12 @@ def test_warc_round_trip(spark):
     assert warc.read(empty, url2).count() == 0
 
 
+def test_shared_folder_is_cleaned(spark):
+    df, url = common.keep(spark.range(3), "x")
+    assert df.count() == 3 and os.path.isdir(common.local_path(url))
+    assert common.clean(spark) > 0 and not os.path.exists(common.local_path(url)) and common.clean(spark) == 0
+
+
 def test_ranges_coalesce():
     assert warc.ranges([(0, 10), (10, 5), (100, 5), (1_000_000, 5)], gap=90) == [(0, 0, 105), (3, 1_000_000, 1_000_005)]
     assert warc.ranges([(0, 10), (10, 10)], most=15) == [(0, 0, 10), (1, 10, 20)]

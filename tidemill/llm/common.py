@@ -18,6 +18,7 @@ BATCH_ROWS = 512
 BATCH_BYTES = 16 << 20
 
 _own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,13 +45,24 @@ def local_path(url: str) -> str:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    url = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _made.add(url)
+    return url
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete all folders that operators of this process made in the shared folder and didn't drop; for long sessions, once their results are written. Returns how many."""
+    left = sorted(_made)
+    for url in left:
+        drop_folder(spark, url)
+    return len(left)
 
 
 def drop_folder(spark: SparkSession, url: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs
     path = hadoop.Path(url)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _made.discard(url)
 
 
 def keep(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
