@@ -90,13 +90,13 @@ def test_decontamination(spark, odd, nothing, monkeypatch, block):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(([i, n, h, f, hashlib.sha256(",".join(f).encode()).hexdigest(), len(f) >= 2] for i, t in docs for n, h, f in [brute_hits(t, items)]), key=repr)
-    got = decontaminate.contamination(df, bench)
+    got = decontaminate.contamination(df, bench, min_items=2)
     assert by_row(got, "doc_id", "n_words", "n_hit", "items", "items_sha256", "contaminated") == want
     text = dict(docs)
     for row in got.where("doc_id >= 100 and size(spans) > 0").collect():
         for s in row.spans:
             assert decontaminate.words_of(text[row.doc_id][s.start : s.end])
-    kept = decontaminate.decontaminate(df.selectExpr("doc_id", "text", "1 AS block", "'q' AS items"), bench)
+    kept = decontaminate.decontaminate(df.selectExpr("doc_id", "text", "1 AS block", "'q' AS items"), bench, min_items=2)
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(w[0]) for w in want if not w[5])
     assert decontaminate.contamination(nothing, bench).count() == 0
     assert decontaminate.contamination(odd, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0

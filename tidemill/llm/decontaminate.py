@@ -12,6 +12,8 @@ The benchmark's windows are written to the shared folder in blocks of at most
 BLOCK_WINDOWS; a worker holds one block's automaton and a bounded buffer of texts
 at a time, so that a benchmark of any size is used whole. No text is shuffled.
 
+A document is contaminated when it holds windows of at least min_items items.
+
 Defined results: null and empty texts have no words, no hits and aren't
 contaminated; null or empty items have no window; equal windows of several items
 count for each of them; repeated rows get one result each; an empty benchmark
@@ -143,7 +145,7 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, min_items: int = 2) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, min_items: int = 1) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items (sorted as strings), items_sha256, contaminated, spans of the hit passages in the original text."""
     url = window_blocks(benchmark, item_col, item_text_col, size)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -179,7 +181,7 @@ def _join(buffer: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     return pa.Table.from_batches(buffer).combine_chunks().to_batches()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, min_items: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, min_items: int = 1) -> DataFrame:
     """docs, with all its columns, without the contaminated ones. Texts are scanned where they lie; nothing is shuffled."""
     url = window_blocks(benchmark, "item_id", "text", size)
     kinds, at = docs.schema, docs.columns.index(text_col)
