@@ -25,8 +25,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold windows of fewer than two benchmark items."""
-    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of eight words of any benchmark item."""
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
