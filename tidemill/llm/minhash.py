@@ -21,8 +21,9 @@ pairs of parts; stars of more than LIST members have their centre repeated for e
 part; nothing unbounded is in one task.
 
 Defined results: null and empty texts, and rows without an id, are linked with
-nothing (component_id is the own id); rows that share an id are one node; columns
-other than id and text aren't read.
+nothing (component_id is the own id, or null); rows that share an id are one node,
+of which near_duplicates keeps every row and deduplicate one; columns other than id
+and text aren't read.
 """
 
 from __future__ import annotations
@@ -387,7 +388,7 @@ class _Job:
         node = described.join(reps.select("print", "rep"), "print", "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
         # rows that share an id are one node: their classes are linked by it
         out = node.join(roots, F.col("rep") == F.col("node"), "left")
-        return out.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
     def cross(self, live: DataFrame, roots: DataFrame, tried: DataFrame, every: bool) -> DataFrame:
         """Untried candidate pairs across components. Lists within one component don't move again."""
