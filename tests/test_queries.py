@@ -49,5 +49,5 @@ def test_entry(spark):
 
 
 def test_other_queries_run(spark):
-    for k in ("fn_split_initcap", "fn_datetime_text", "fn_digest_more", "fn_session"):
+    for k in ("fn_digest_more", "fn_session"):
         assert entry.queries()[k](spark, SF).count() > 0

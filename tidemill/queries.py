@@ -125,12 +125,12 @@ _add("explode_outer", "SELECT p_partkey, v FROM (SELECT p_partkey, CASE WHEN p_s
 _add("explode_map_text", "SELECT p_partkey, k, v FROM (SELECT p_partkey, CONCAT_WS(',', 'brand', p_brand, 'type', p_type, 'odd') AS m FROM part) AS t LATERAL VIEW EXPLODE(m) x AS k, v", "SELECT p_partkey, 'brand' AS k, p_brand AS v FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part")
 # -- functions --
 _add("fn_string", "SELECT c_custkey, CONCAT(c_name, '-', c_mktsegment) AS a, CONCAT_WS('/', c_name, c_mktsegment) AS b, SUBSTRING(c_name, 3, 4) AS c, SUBSTR(c_name, 0, 3) AS d, UPPER(c_name) AS e, LCASE(c_mktsegment) AS f, TRIM('  x ') AS g, LENGTH(c_name) AS h, REPLACE(c_name, '0', '_') AS i, REVERSE(c_name) AS j, LOCATE('0', c_name) AS k, INSTR(c_name, '#') AS l, LPAD(c_mktsegment, 12, '*') AS m, RPAD(c_mktsegment, 4, '*') AS n, ASCII(c_name) AS o FROM customer", "SELECT c_custkey, c_name || '-' || c_mktsegment AS a, c_name || '/' || c_mktsegment AS b, substring(c_name, 3, 4) AS c, substring(c_name, 1, 3) AS d, upper(c_name) AS e, lower(c_mktsegment) AS f, 'x' AS g, CAST(length(c_name) AS INT) AS h, replace(c_name, '0', '_') AS i, reverse(c_name) AS j, CAST(instr(c_name, '0') AS INT) AS k, CAST(instr(c_name, '#') AS INT) AS l, lpad(c_mktsegment, 12, '*') AS m, rpad(c_mktsegment, 4, '*') AS n, CAST(ascii(c_name) AS INT) AS o FROM customer")
-_add("fn_split_initcap", "SELECT p_partkey, SPLIT(p_type, ' ') AS s, INITCAP(LOWER(p_type)) AS i FROM part", None)
+_add("fn_split_initcap", "SELECT p_partkey, SPLIT(p_type, ' ') AS s, INITCAP(LOWER(p_type)) AS i FROM part", "SELECT p_partkey, '[' || array_to_string(string_split(p_type, ' '), ',') || ']' AS s, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS i FROM part")
 _add("fn_regex", "SELECT c_custkey, REGEXP_REPLACE(c_name, '[0-9]+', 'N') AS a, REGEXP_EXTRACT(c_name, '([A-Za-z]+)', 1) AS b, REGEXP_EXTRACT(c_name, '(zzz)') AS z FROM customer", "SELECT c_custkey, regexp_replace(c_name, '[0-9]+', 'N', 'g') AS a, regexp_extract(c_name, '([A-Za-z]+)', 1) AS b, '' AS z FROM customer")
 _add("fn_math", "SELECT c_custkey, ROUND(c_acctbal, 1) AS a, FLOOR(c_acctbal) AS b, CEIL(c_acctbal) AS c, ABS(c_acctbal) AS d, ROUND(SQRT(ABS(c_acctbal)), 6) AS e, ROUND(EXP(c_nationkey / 10), 6) AS f, ROUND(LN(c_custkey + 1), 6) AS g, ROUND(LOG10(c_custkey + 1), 6) AS h, ROUND(LOG2(c_custkey + 1), 6) AS i, POWER(c_nationkey, 2) AS j, MOD(c_custkey, 7) AS k, MOD(c_custkey, 0) AS l, SIGN(c_acctbal) AS m, GREATEST(c_custkey, 100, c_nationkey) AS n, LEAST(c_custkey, 100) AS o, WIDTH_BUCKET(c_acctbal, 0, 10000, 10) AS p FROM customer", "SELECT c_custkey, round(c_acctbal, 1) AS a, CAST(floor(c_acctbal) AS BIGINT) AS b, CAST(ceil(c_acctbal) AS BIGINT) AS c, abs(c_acctbal) AS d, round(sqrt(abs(c_acctbal)), 6) AS e, round(exp(c_nationkey / 10), 6) AS f, round(ln(c_custkey + 1), 6) AS g, round(log10(c_custkey + 1), 6) AS h, round(log2(c_custkey + 1), 6) AS i, power(c_nationkey, 2) AS j, c_custkey % 7 AS k, c_custkey AS l, CAST(sign(c_acctbal) AS DOUBLE) AS m, greatest(c_custkey, 100, c_nationkey) AS n, least(c_custkey, 100) AS o, CAST(CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal >= 10000 THEN 11 ELSE floor(c_acctbal / 1000) + 1 END AS BIGINT) AS p FROM customer")
 _add("fn_rand", "SELECT COUNT(*) AS n, MIN(r) >= 0 AS lo, MAX(r) < 1 AS hi FROM (SELECT RAND(42) AS r FROM customer) AS t", "SELECT COUNT(*) AS n, true AS lo, true AS hi FROM customer")
 _add("fn_datetime", "SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, HOUR(o_orderdate) AS h, QUARTER(o_orderdate) AS q, WEEKOFYEAR(o_orderdate) AS w, DATE_FORMAT(o_orderdate, 'yyyy/MM/dd') AS f, CAST(DATE_ADD(o_orderdate, 10) AS STRING) AS a, CAST(DATE_SUB(o_orderdate, 3) AS STRING) AS s, CAST(ADD_MONTHS(o_orderdate, 1) AS STRING) AS am, CAST(LAST_DAY(o_orderdate) AS STRING) AS ld, DATEDIFF('2001-12-31', o_orderdate) AS dd, TRUNC(o_orderdate, 'MM') AS t, UNIX_TIMESTAMP(o_orderdate) AS u, TO_DATE(o_orderdate) AS td FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d, CAST(hour(o_orderdate) AS INT) AS h, CAST(quarter(o_orderdate) AS INT) AS q, CAST(weekofyear(o_orderdate) AS INT) AS w, strftime(o_orderdate, '%Y/%m/%d') AS f, strftime(o_orderdate + INTERVAL 10 DAY, '%Y-%m-%d') AS a, strftime(o_orderdate - INTERVAL 3 DAY, '%Y-%m-%d') AS s, strftime(o_orderdate + INTERVAL 1 MONTH, '%Y-%m-%d') AS am, strftime(last_day(o_orderdate), '%Y-%m-%d') AS ld, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-12-31') AS INT) AS dd, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS t, CAST(epoch(o_orderdate) AS BIGINT) AS u, strftime(o_orderdate, '%Y-%m-%d') AS td FROM orders")
-_add("fn_datetime_text", "SELECT o_orderkey, NEXT_DAY(o_orderdate, 'Monday') AS nd, MONTHS_BETWEEN(o_orderdate, '1995-01-15') AS mb, FROM_UNIXTIME(o_orderkey, 'yyyy-MM-dd') AS fu, FROM_UTC_TIMESTAMP(o_orderdate, 'Asia/Shanghai') AS fz, TO_UTC_TIMESTAMP(o_orderdate, 'Asia/Shanghai') AS tz, YEAR('bad') AS bad, MINUTE('2031-07-09 21:05:59') AS mi, SECOND('2031-07-09T21:05:59') AS se FROM orders", None)
+_add("fn_datetime_text", "SELECT o_orderkey, NEXT_DAY(o_orderdate, 'Monday') AS nd, MONTHS_BETWEEN(o_orderdate, '1995-01-15') AS mb, FROM_UNIXTIME(o_orderkey, 'yyyy-MM-dd') AS fu, FROM_UTC_TIMESTAMP(o_orderdate, 'Asia/Shanghai') AS fz, TO_UTC_TIMESTAMP(o_orderdate, 'Asia/Shanghai') AS tz, YEAR('bad') AS bad, MINUTE('2031-07-09 21:05:59') AS mi, SECOND('2031-07-09T21:05:59') AS se FROM orders", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST(8 - isodow(o_orderdate) AS INT) AS nd, round((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 + (day(o_orderdate) - 15) / 31.0, 6) AS mb, strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%d') AS fu, strftime(o_orderdate + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS fz, strftime(o_orderdate - INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS tz, CAST(0 AS INT) AS bad, CAST(5 AS INT) AS mi, CAST(59 AS INT) AS se FROM orders")
 _add("fn_extract", "SELECT o_orderkey, EXTRACT(YEAR FROM o_orderdate) AS y, EXTRACT(DOY FROM o_orderdate) AS dy, EXTRACT(DOW FROM o_orderdate) AS dw, EXTRACT(WEEK FROM o_orderdate) AS w, EXTRACT(QUARTER FROM o_orderdate) AS q FROM orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(dayofyear(o_orderdate) AS INT) AS dy, CAST(isodow(o_orderdate) AS INT) AS dw, CAST(weekofyear(o_orderdate) AS INT) AS w, CAST(quarter(o_orderdate) AS INT) AS q FROM orders")
 _add("fn_conditional", "SELECT c_custkey, IF(c_acctbal > 0, 'plus', 'minus') AS a, COALESCE('', c_name) AS b, NVL('', 'none') AS c, NULLIF(c_mktsegment, 'BUILDING') AS d, IF(c_nationkey, 1, 0) AS e FROM customer", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'plus' ELSE 'minus' END AS a, c_name AS b, 'none' AS c, nullif(c_mktsegment, 'BUILDING') AS d, CASE WHEN c_nationkey <> 0 THEN 1 ELSE 0 END AS e FROM customer")
 _add("fn_encoding", "SELECT c_custkey, BASE64(c_name) AS a, UNBASE64(BASE64(c_name)) AS b, HEX(c_name) AS c, UNHEX(HEX(c_name)) AS d, UNHEX('zz') AS e, ENCODE(c_name, 'UTF-8') AS f, ENCODE(c_name, 'GBK') AS g, DECODE(c_name, 'UTF-8') AS h FROM customer", "SELECT c_custkey, base64(encode(c_name)) AS a, c_name AS b, lower(hex(encode(c_name))) AS c, c_name AS d, 'zz' AS e, c_name AS f, lower(hex(encode(c_name))) AS g, c_name AS h FROM customer")
