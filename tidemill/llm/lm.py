@@ -205,14 +205,23 @@ def _below(a: Automaton, head: np.ndarray, tail: np.ndarray, low: np.ndarray, or
     return np.where(np.isnan(arc), weight + _below(a, short, tail, low, order - 1), arc)
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, training) -> DataFrame:
+def block_count(docs: DataFrame, text_col: str = "text") -> int:
+    size = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
+    return max(1, -(-size // BLOCK_BYTES))
+
+
+def blocked(docs: DataFrame, id_col: str, text_col: str, training, blocks: int | None = None) -> DataFrame:
     """doc_id, text, train, block."""
     rows = common.texts(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
+    blocks = blocks or block_count(docs, text_col)
     return rows.withColumn("train", F.coalesce(training(F.col("doc_id")), F.lit(False))).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
 
+def apart(rows: DataFrame, blocks: int | None) -> DataFrame:
+    """Rows by block over four times as many partitions, so that blocks seldom meet in one."""
+    return rows.repartition(4 * blocks, "block") if blocks else rows
+
+
 def _count_block(frequent: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         numbers, counts, total = _Numbers(), np.zeros(0, np.int64), 0
@@ -235,9 +244,9 @@ def _count_block(frequent: float):
     return run
 
 
-def fit(rows: DataFrame, order: int = ORDER, frequent: float = FREQUENT, kept: float = KEPT) -> tuple[Automaton, DataFrame, str]:
+def fit(rows: DataFrame, order: int = ORDER, frequent: float = FREQUENT, kept: float = KEPT, blocks: int | None = None) -> tuple[Automaton, DataFrame, str]:
     """From blocked rows: the automaton, and the kept table (block, word_key, c) with each word's training count."""
-    counted = rows.groupBy("block").applyInArrow(_count_block(frequent), "block int, word_key long, n long, word binary")
+    counted = apart(rows.select("text", "train", "block"), blocks).groupBy("block").applyInArrow(_count_block(frequent), "block int, word_key long, n long, word binary")
     w = Window.partitionBy("word_key")
     table, place = common.keep(counted.select("block", "word_key", F.sum("n").over(w).alias("c"), F.max("word").over(w).alias("word"), (F.row_number().over(w.orderBy("block")) == 1).alias("first")), "counts")
     one = table.where("first and c > 0")
@@ -331,8 +340,9 @@ def _score_block(model: Automaton):
 
 def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent: float = FREQUENT, kept: float = KEPT) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score. training: a function from the id column to whether a text is learned from."""
-    rows = blocked(docs, id_col, text_col, training)
-    model, counts, _ = fit(rows, order, frequent, kept)
+    blocks = block_count(docs, text_col)
+    rows = blocked(docs, id_col, text_col, training, blocks)
+    model, counts, _ = fit(rows, order, frequent, kept, blocks)
     kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.select("doc_id", "text", "block").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_score_block(model), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    found = apart(rows.select("doc_id", "text", "block"), blocks).groupBy("block").cogroup(apart(counts, blocks).groupBy("block")).applyInArrow(_score_block(model), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return found.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
