@@ -299,10 +299,10 @@ def fit(rows: DataFrame, order: int = ORDER, frequent: float = FREQUENT, kept: f
 
     found: list[tuple[np.ndarray, np.ndarray]] = []
     if number and order > 1:
-        got = common.map_batches(rows.where("train").select("text"), grams, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
+        got = common.map_batches(rows.where("train").select("text"), grams, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow().sort_by([("k", "ascending"), ("code", "ascending")])
+        size, codes, counts = (got[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "code", "n"))
         for k in range(2, order + 1):
-            g = got[got["k"] == k].sort_values("code")
-            found.append((g["code"].to_numpy(np.int64), g["n"].to_numpy(np.int64)))
+            found.append((codes[size == k], counts[size == k]))
     return build(top, tokens, s.words or 0, s.ones or 0, s.twos or 0, texts, found), table.select("block", "word_key", "c"), place
 
 

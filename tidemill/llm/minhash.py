@@ -360,8 +360,8 @@ class _Job:
         classes = reps.count()
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
         hot = max(HOT_LEAST, int(classes * HOT_SHARE))
-        often = reps.select("sig").mapInArrow(_frequent(3), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).toPandas().sort_values("code")
-        codes, counts = often["code"].to_numpy(np.int64), often["n"].to_numpy(np.int64)  # at most COORDINATES / HOT_SHARE
+        often = reps.select("sig").mapInArrow(_frequent(3), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).toArrow().sort_by("code")
+        codes, counts = (often[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("code", "n"))  # at most COORDINATES / HOT_SHARE
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
         posted = reps.select("rep", "sig").mapInArrow(_post(codes, counts, COORDINATES - self.need + 1), "code long, part int, rep long, bits binary")
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
