@@ -176,6 +176,27 @@ def test_language_model(spark, texts):
             assert total == pytest.approx(1)
 
 
+def test_language_model_leaves_no_ngram_out(spark, monkeypatch):
+    """The scores by blocks and ranges are those of the automaton with every n-gram, singletons and rare words too."""
+    r = random.Random(9)
+    texts = [(k, " ".join(r.choice("abcde") if r.random() < 0.7 else f"rare{r.randrange(300)}" for _ in range(r.randint(0, 30)))) for k in range(200)]
+    texts += [(900, None), (902, "A b"), (902, "A b"), (None, "a"), (903, "once only seen here"), (904, "once only seen here")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    train = lambda i: common.fold(i, 7) != 2
+    model, _, _ = lm.fit(lm.blocked(df, "doc_id", "text", train), frequent=0, kept=0)
+    learned = [lm.words_of(t) for i, t in texts if i is not None and common.fold_of(i, 7) != 2]
+    c = collections.Counter(w for x in learned for w in x)
+    assert set(model.words) == set(c)
+    assert len(model.arcs[0][0]) == len({g for x in learned for g in zip([None, *x], x)})
+    assert len(model.arcs[1][0]) == len({g for x in learned for g in zip([None, *x], x, x[1:])})
+    uni = lambda w: model.unigram(np.array([c[x] for x in w], float)).tolist()
+    want = sorted((repr(i), round(model.traverse([model.words.get(x, -1) for x in w], uni(w)), 6)) for i, t in texts for w in [lm.words_of(t)])
+    for size in (lm.BLOCK_BYTES, 2000):
+        monkeypatch.setattr(lm, "BLOCK_BYTES", size)
+        got = sorted((repr(x.doc_id), x.score) for x in lm.score(df, train).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-6)
+
+
 def page_rows():
     return [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (3, "http://a/3\r\nX: y", "é" * 5000), (4, None, None), (5, "u", ""), (6, "u", "<p>x</p>"), (7, "v", "\r\n\r\nWARC/1.1"), (8, "w", "q"), (8, "w", "q"), (None, "n", "lone"), (None, "n", "q")]
 

@@ -5,14 +5,19 @@ probability, and a failure arc leads from each history to the one without its
 first word, at the weight that the seen continuations leave. A text is scored in
 one traversal from left to right that carries the state.
 
-Unigrams are exact over all training texts. Their number grows with the corpus, so
-that they are never sent whole to one place: texts are hashed into blocks of about
-BLOCK_BYTES, every block counts its words, a window over each word's blocks adds
-them up, and each block gets back the counts of its own words only. Longer n-grams
-are kept among frequent words (a share of at least FREQUENT of all tokens, so
-1 / FREQUENT at most) where they make up a share of at least KEPT of all tokens
-(so 1 / KEPT at most for each order): the automaton's broadcast part has a bound
-that doesn't depend on the corpus.
+Unigrams, bigrams and trigrams are exact over all training texts; none is left out.
+Their number grows with the corpus, so that they are never sent whole to one place:
+texts are hashed into blocks of about BLOCK_BYTES, every block counts its words, a
+window over buckets of words adds them up and numbers them, and each block gets back
+the numbers and counts of its own words only. Then each block packs its distinct
+bigrams and trigrams by ranges of the middle word (the first of a bigram); a range
+adds up what all blocks hold, works out arcs and failure weights, and hands each
+block the scores of its own n-grams, in the order in which they came. One range has
+all n-grams around a word: the most frequent word's are in one task.
+
+With `frequent` or `kept`, n-grams are held only among words with at least that share
+of all tokens, and only where they make up that share; such an automaton fits into
+one place (see fit) and is for small models and tests.
 
 Smoothing is absolute discounting: D = n1 / (n1 + 2 n2) from the counts of counts;
 what is taken from the words seen is the probability of an unknown word, a single
@@ -26,19 +31,23 @@ one; other columns aren't read.
 
 from __future__ import annotations
 
+import gc
 import math
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_BYTES, FREQUENT, KEPT, ORDER = 24 << 20, 1e-4, 1e-6, 3
+BLOCK_BYTES, ORDER = 24 << 20, 3
+UNKNOWN, FIRST = 1, 2  # numbers of an unknown word and of the first known one; 0 starts a text
 END = b"\x20"  # no word holds a blank
 NO = np.float32(-np.inf)
 
@@ -244,19 +253,27 @@ def _count_block(frequent: float):
     return run
 
 
-def fit(rows: DataFrame, order: int = ORDER, frequent: float = FREQUENT, kept: float = KEPT, blocks: int | None = None) -> tuple[Automaton, DataFrame, str]:
-    """From blocked rows: the automaton, and the kept table (block, word_key, c) with each word's training count."""
+def count(rows: DataFrame, frequent: float, blocks: int | None) -> tuple[DataFrame, DataFrame, str]:
+    """The kept table (block, word_key, c, number, word, first) with each word's training count and number, its rows of one a word, and its place."""
     counted = apart(rows.select("text", "train", "block"), blocks).groupBy("block").applyInArrow(_count_block(frequent), "block int, word_key long, n long, word binary")
-    w = Window.partitionBy("word_key")
-    table, place = common.keep(counted.select("block", "word_key", F.sum("n").over(w).alias("c"), F.max("word").over(w).alias("word"), (F.row_number().over(w.orderBy("block")) == 1).alias("first")), "counts")
-    one = table.where("first and c > 0")
+    buckets = 4 * (blocks or 1)
+    counted = counted.withColumn("bucket", F.pmod("word_key", F.lit(buckets)))
+    w = Window.partitionBy("bucket", "word_key")
+    number = (F.dense_rank().over(Window.partitionBy("bucket").orderBy("word_key")) - 1).cast("long") * buckets + F.col("bucket") + FIRST
+    table, place = common.keep(counted.select("block", "word_key", F.sum("n").over(w).alias("c"), number.alias("number"), F.max("word").over(w).alias("word"), (F.row_number().over(w.orderBy("block")) == 1).alias("first")), "counts")
+    return table, table.where("first and c > 0"), place
+
+
+def fit(rows: DataFrame, order: int = ORDER, frequent: float = 0, kept: float = 0, blocks: int | None = None) -> tuple[Automaton, DataFrame, str]:
+    """From blocked rows, in one place: the automaton, and the kept table (block, word_key, c) with each word's training count."""
+    table, one, place = count(rows, frequent, blocks)
     s = one.agg(F.sum("c").alias("tokens"), F.count("*").alias("words"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
     tokens = s.tokens or 0
     top = [(bytes(r.word), int(r.c)) for r in one.where(F.col("word").isNotNull() & (F.col("c") >= F.lit(frequent * tokens))).orderBy(F.desc("c"), "word_key").select("word", "c").collect()]
     texts = next((c for x, c in top if x == END), 0)
     number = {x: k + 1 for k, (x, _) in enumerate(top)}
     base = len(number) + 2
-    least = max(2, math.ceil(kept * tokens))
+    least = max(1, math.ceil(kept * tokens))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {k: [] for k in range(2, order + 1)}
@@ -306,6 +323,219 @@ def fit(rows: DataFrame, order: int = ORDER, frequent: float = FREQUENT, kept: f
     return build(top, tokens, s.words or 0, s.ones or 0, s.twos or 0, texts, found), table.select("block", "word_key", "c"), place
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers of 0 and more, by distinct values where these are few; bytes of the same weight side by side."""
+    x = np.asarray(x)
+    if x.dtype.kind == "f":
+        values, x = np.unique(x, return_inverse=True)
+        head = values.tobytes()
+    else:
+        head = b""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    body = pa.compress(head + planes, codec="zstd", asbytes=True)
+    return np.array([len(x), width, len(head)], "<i8").tobytes() + body
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    n, width, head = np.frombuffer(raw[:24], "<i8").tolist()
+    body = pa.decompress(raw[24:], decompressed_size=head + n * width, codec="zstd", asbytes=True)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8, offset=head).reshape(width, n).T
+    x = out.reshape(-1).view("<i8")
+    return np.frombuffer(body[:head], np.float64)[x] if head else x
+
+
+SLICES = 8  # of a block's ranges; the n-grams of one are in memory at a time
+
+
+@dataclass
+class _Grams:
+    """A slice of a block's distinct bigrams and trigrams, ordered by range, and the positions that hold them."""
+
+    at2: np.ndarray
+    of2: np.ndarray
+    at3: np.ndarray
+    of3: np.ndarray
+    v: np.ndarray
+    w: np.ndarray
+    c: np.ndarray
+    n2: np.ndarray
+    many: np.ndarray
+    u: np.ndarray
+    n3: np.ndarray
+
+
+class _Block:
+    """A block's words; its n-grams are the same for the same texts in any order."""
+
+    def __init__(self, texts: pa.Table, keys: np.ndarray, counts: np.ndarray, numbers: np.ndarray):
+        by = np.argsort(keys, kind="stable")
+        keys, counts, numbers = keys[by], counts[by], numbers[by]
+        seen, ids, self.sizes, learned = _Numbers(), [], [], []
+        for batch in texts.select(["text", "train"]).to_batches(256):
+            got = []
+            for t, yes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                before = len(got)
+                got += words_of(t)
+                self.sizes.append(len(got) - before)
+                learned.append(yes)
+            ids.append(np.fromiter(map(seen.__getitem__, got), np.int32, len(got)))
+        self.x = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        at = np.searchsorted(keys, np.fromiter(map(key_of, seen), np.int64, len(seen)))
+        self.counts, self.numbers = counts[at], np.where(counts > 0, numbers, UNKNOWN)[at]
+        self.first = np.cumsum([0, *self.sizes])[:-1]
+        self.train = np.repeat(np.array(learned, bool), self.sizes)
+        self.start = np.zeros(len(self.x), bool)
+        self.start[self.first] = True
+
+    def grams(self, ranges: int) -> Iterator[tuple[range, _Grams]]:
+        step = -(-ranges // SLICES)
+        before = np.zeros(len(self.x), np.int32)
+        before[1:] = (self.numbers % ranges)[self.x[:-1]]
+        before[self.start] = 0
+        known = np.ones(len(self.x), bool)
+        known[1:] = (self.numbers != UNKNOWN)[self.x[:-1]]
+        known[self.start] = True
+        for low in range(0, ranges, step):
+            at2 = np.flatnonzero((before >= low) & (before < low + step) & known)
+            yield range(low, min(low + step, ranges)), self._slice(at2, ranges)
+
+    def _slice(self, at2: np.ndarray, ranges: int) -> _Grams:
+        number = lambda at: self.numbers[self.x[at]]
+        start, train = self.start[at2], self.train[at2]
+        v = np.where(start, 0, number(at2 - 1))
+        # nothing is before the start
+        u = np.where(start, UNKNOWN, np.where(self.start[at2 - 1], 0, number(at2 - 2)))
+        code, one, inverse = np.unique(v << 32 | number(at2), return_index=True, return_inverse=True)
+        order = np.argsort((code >> 32) % ranges, kind="stable")
+        place = np.empty(len(code), np.int64)
+        place[order] = np.arange(len(code))
+        of2, code, c = place[inverse], code[order], self.counts[self.x[at2[one[order]]]]
+        deep = np.flatnonzero(u != UNKNOWN)
+        longer, of3 = np.unique(of2[deep] << 32 | u[deep], return_inverse=True)
+        return _Grams(
+            at2, of2, at2[deep], of3, code >> 32, code & 0xFFFFFFFF, c, np.bincount(of2[train], minlength=len(code)),
+            np.bincount(longer >> 32, minlength=len(code)), longer & 0xFFFFFFFF, np.bincount(of3[train[deep]], minlength=len(longer)),
+        )
+
+
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
+
+
+PACKED = ("v", "w", "c", "n2", "many", "u", "n3")
+
+
+def _pack_block(ranges: int):
+    def run(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
+        rows = []
+        for spans, g in _Block(texts, *_columns(counts, "word_key", "c", "number")).grams(ranges):
+            cut2 = np.searchsorted(g.v % ranges, np.arange(spans.start, spans.stop + 1))
+            cut3 = np.concatenate([[0], np.cumsum(g.many)])[cut2]
+            for r, i, j, k, m in zip(spans, cut2, cut2[1:], cut3, cut3[1:]):
+                if i < j:
+                    steps = np.diff(g.v[i:j] // ranges, prepend=0)
+                    rows.append((r, *map(pack, (steps, g.w[i:j], g.c[i:j], g.n2[i:j], g.many[i:j], g.u[k:m], g.n3[k:m]))))
+        columns = list(zip(*rows)) or [()] * (1 + len(PACKED))
+        return pa.table({"block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "span": pa.array(columns[0], pa.int32())} | {name: pa.array(x, pa.binary()) for name, x in zip(PACKED, columns[1:])})
+
+    return run
+
+
+def _score_range(model: Automaton):
+    d = model.discount
+
+    def weights(at: np.ndarray, size: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """log10 of the failure arcs' weights; 0 where nothing is seen."""
+        return np.log10(np.maximum(1 - np.bincount(at, p, size), 1e-12) / np.maximum(1 - np.bincount(at, q, size), 1e-12))
+
+    def run(key: tuple, parts: pa.Table) -> pa.Table:
+        # within a range, a word's quotient by the number of ranges says which it is
+        each = {name: [unpack(x.as_py()) for x in parts.column(name)] for name in PACKED}
+        each["v"] = [np.cumsum(x) for x in each["v"]]
+        sizes2, sizes3 = [len(x) for x in each["v"]], [len(x) for x in each["u"]]
+        v, w, c, n2, many, u, n3 = (np.concatenate(each.pop(name)) for name in PACKED)
+        code, one, of2 = np.unique(v << 32 | w, return_index=True, return_inverse=True)
+        low, n = model.unigram(c[one]), np.bincount(of2, n2, len(code))
+        _, hist = np.unique(code >> 32, return_inverse=True)
+        size = int(hist.max(initial=-1)) + 1
+        total = np.bincount(hist, n, size)
+        has = n > 0
+        p = np.zeros(len(code))
+        p[has] = (n[has] - d) / total[hist[has]]
+        back = weights(hist[has], size, p[has], 10 ** low[has])
+        s2 = np.where(has, np.log10(np.where(has, p, 1)), back[hist] + low)
+        g = np.repeat(of2, many)
+        code, of3 = np.unique(g << 32 | u, return_inverse=True)
+        g, u, n = code >> 32, code & 0xFFFFFFFF, np.bincount(of3, n3, len(code))
+        _, deep = np.unique(hist[g] << 32 | u, return_inverse=True)
+        size = int(deep.max(initial=-1)) + 1
+        total = np.bincount(deep, n, size)
+        has = n > 0
+        p3 = np.zeros(len(code))
+        p3[has] = (n[has] - d) / total[deep[has]]
+        back = weights(deep[has], size, p3[has], p[g[has]])
+        s3 = np.where(has, np.log10(np.where(has, p3, 1)), back[deep] + s2[g])
+        split = lambda s, sizes: [pack(x) for x in np.split(s, np.cumsum(sizes)[:-1])]
+        return pa.table({"block": parts.column("block"), "span": parts.column("span"), "s2": pa.array(split(s2[of2], sizes2), pa.binary()), "s3": pa.array(split(s3[of3], sizes3), pa.binary())})
+
+    return run
+
+
+def _read_block(model: Automaton, ranges: int, order: int):
+    def run(key: tuple, texts: pa.Table, given: pa.Table) -> pa.Table:
+        words = given.filter(pc.is_null(given.column("span")))
+        b = _Block(texts, *_columns(words, "word_key", "c", "number"))
+        total = model.unigram(b.counts)[b.x]
+        parts = given.filter(pc.is_valid(given.column("span"))).sort_by("span")
+        spans = parts.column("span").to_numpy()
+        for among, g in b.grams(ranges) if order > 1 else ():
+            i, j = np.searchsorted(spans, [among.start, among.stop]).tolist()
+            for k, name, at, of in ((2, "s2", g.at2, g.of2), (3, "s3", g.at3, g.of3)):
+                if order >= k and len(at):
+                    total[at] = np.concatenate([unpack(x.as_py()) for x in parts.column(name).slice(i, j - i)])[of]
+        n, v = model.tokens, model.vocabulary
+        add = lambda x: np.add.reduceat(x, b.first) if len(b.first) else x
+        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(b.sizes, pa.int64()), "n_known": pa.array(add((b.counts > 0).astype(np.int64)[b.x])), "base_score": pa.array(add(np.log10((b.counts + 1) / (n + v + 1))[b.x])), "score": pa.array(add(total))})
+
+    return run
+
+
+SCORED = "n_tokens long, n_known long, base_score double, score double"
+
+
+def _let_go(spark) -> None:
+    """Shuffle files of what is kept go when the driver collects its garbage: now. Twice, since what an event still holds at first would stay long."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def whole(rows: DataFrame, blocks: int, order: int) -> tuple[Automaton, DataFrame]:
+    """The model's sums and the scores by all n-grams, from blocked rows."""
+    if order > 3:
+        raise ValueError("n-grams of at most three words are scored without a cut")
+    table, one, _ = count(rows, math.inf, blocks)
+    s = one.agg(F.sum("c").alias("tokens"), F.count("*").alias("words"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
+    _let_go(rows.sparkSession)
+    model = build([], s.tokens or 0, s.words or 0, s.ones or 0, s.twos or 0, 0, [])
+    ranges = 2 * blocks
+    counts = table.select("block", "word_key", "c", "number")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    both = lambda right, run, schema: apart(rows, blocks).groupBy("block").cogroup(apart(right, blocks).groupBy("block")).applyInArrow(run, schema)
+    given = counts.withColumn("span", F.lit(None).cast("int")).withColumns({c: F.lit(None).cast("binary") for c in ("s2", "s3")})
+    if model.tokens and order > 1:
+        packed = both(counts, _pack_block(ranges), "block int, span int, " + ", ".join(f"{c} binary" for c in PACKED))
+        scored, _ = common.keep(packed.repartition(ranges, "span").groupBy("span").applyInArrow(_score_range(model), "block int, span int, s2 binary, s3 binary"), "grams")
+        _let_go(rows.sparkSession)
+        given = given.unionByName(scored, allowMissingColumns=True)
+    else:
+        order = 1
+    return model, both(given, _read_block(model, ranges, order), f"doc_id {kind}, {SCORED}")
+
+
 def _score_block(model: Automaton):
     def run(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
         keys, c = counts.column("word_key").to_numpy(), counts.column("c").to_numpy()
@@ -338,11 +568,14 @@ def _score_block(model: Automaton):
     return run
 
 
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent: float = FREQUENT, kept: float = KEPT) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score. training: a function from the id column to whether a text is learned from."""
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent: float = 0, kept: float = 0) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score. training: a function from the id column to whether a text is learned from. frequent, kept: shares of all tokens below which words and n-grams are left out; 0 leaves out none."""
     blocks = block_count(docs, text_col)
     rows = blocked(docs, id_col, text_col, training, blocks)
+    if not frequent and not kept:
+        model, found = whole(rows, blocks, order)
+        return found.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     model, counts, _ = fit(rows, order, frequent, kept, blocks)
     kind = docs.schema[id_col].dataType.simpleString()
-    found = apart(rows.select("doc_id", "text", "block"), blocks).groupBy("block").cogroup(apart(counts, blocks).groupBy("block")).applyInArrow(_score_block(model), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    found = apart(rows.select("doc_id", "text", "block"), blocks).groupBy("block").cogroup(apart(counts, blocks).groupBy("block")).applyInArrow(_score_block(model), f"doc_id {kind}, {SCORED}")
     return found.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
