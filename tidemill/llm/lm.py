@@ -2,8 +2,10 @@
 
 States are word histories, arcs are seen continuations with their smoothed log
 probability, and a failure arc leads from each history to the one without its
-first word, at the weight that the seen continuations leave. A text is scored in
-one traversal from left to right that carries the state.
+first word, at the weight that the seen continuations leave. A text's score is
+that of one traversal from left to right that carries the state (step, traverse); it
+is worked out by lookups of each position's history, many at once, and tested against
+the traversal.
 
 Unigrams, bigrams and trigrams are exact over all training texts; none is left out.
 Their number grows with the corpus, so that they are never sent whole to one place:
