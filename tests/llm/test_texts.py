@@ -134,6 +134,23 @@ def test_field_finds_what_the_rules_drop():
     assert pii.redacted(t, spans).startswith("pay <CARD> ")
 
 
+def test_field_spans_overlap_no_rule_span():
+    """However many rule spans a region holds, and for [at] regions, which come last, too."""
+
+    class Everywhere:
+        def decode(self, text, a, b):
+            return [(k, "phone", k + 2) for k in range(a, b - 2)]
+
+    for t in (" ".join(["+1 (741) 555-3069"] * 400), "joe@ab.org[at]cd.org " + "10.0.0.1 x " * 300):
+        base, regions = pii.base_spans(t), list(pii.regions(t))
+        rule = np.zeros(len(t), bool)
+        for a, _, b in base:
+            rule[a:b] = True
+        inside = lambda a, b: any(p <= a and q >= b for p, _, q in base)
+        want = {s for a, b in regions if not inside(a, b) for s in Everywhere().decode(t, a, b) if not rule[s[0] : s[2]].any()}
+        assert set(pii.all_spans(t, Everywhere())) == want | set(base)
+
+
 def test_field_decodes_the_best_segmentation():
     """Dynamic programming against all segmentations."""
     field, text = pii.trained(), "+1 (741) 555-3069 12"

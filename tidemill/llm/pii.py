@@ -25,7 +25,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -295,15 +297,17 @@ def all_spans(text: str, field: Field, base: list[Span] | None = None) -> list[S
     """Spans of the rules and those that the field adds."""
     base = base_spans(text) if base is None else base
     more: list[Span] = []
-    at = 0
     taken = sorted((a, b) for a, _, b in base)
+    starts, ends = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+    def over(a: int, b: int) -> list[tuple[int, int]]:
+        """Rule spans that overlap a to b; ends are the largest so far, since spans may overlap."""
+        return [t for t in taken[bisect_right(ends, a) : bisect_left(starts, b)] if t[1] > a]
+
     for a, b in regions(text):
-        while at < len(taken) and taken[at][1] <= a and (at + 1 == len(taken) or taken[at + 1][0] <= a):
-            at += 1
-        near = [t for t in taken[max(0, at - 4) : at + 200] if t[0] < b and t[1] > a] if len(taken) < 5000 else [t for t in taken if t[0] < b and t[1] > a]
-        if any(p <= a and q >= b for p, q in near):
+        if any(p <= a and q >= b for p, q in over(a, b)):
             continue
-        more += [s for s in field.decode(text, a, b) if not any(p < s[2] and q > s[0] for p, q in near)]
+        more += [s for s in field.decode(text, a, b) if not over(s[0], s[2])]
     return sorted({*base, *more}, key=lambda s: (s[0], KINDS.index(s[1]), s[2])) if more else base
 
 
