@@ -102,6 +102,14 @@ def test_decontamination(spark, odd, nothing, monkeypatch, block):
     assert decontaminate.contamination(odd, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
 
 
+def test_missing_automata_are_an_error(spark):
+    docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    got = decontaminate.contamination(docs, bench)
+    common.clean(spark)
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        got.collect()
+
+
 RULES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 

@@ -94,7 +94,7 @@ def _blocks(url: str) -> list[tuple[str, int]]:
     from pyarrow import fs
 
     system, path = fs.FileSystem.from_uri(url) if "://" in url else (fs.LocalFileSystem(), url)
-    return [(url, int(x.base_name.partition("=")[2])) for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if x.base_name.startswith("block=")]
+    return [(url, int(x.base_name.partition("=")[2])) for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.startswith("block=")]
 
 
 def _automaton(key: tuple[str, int]) -> Automaton:
