@@ -146,55 +146,91 @@ def test_components(spark):
     assert all(find(i) == c for i, c in got.items()) and {x for e in edges for x in e if e[1] is not None and e[0] != e[1]} <= set(got)
 
 
-@pytest.mark.parametrize("texts", [None, []])
-def test_language_model(spark, texts):
+class BruteModel:
+    """Interpolated absolute discounting from plain counts of word tuples, apart from the operator."""
+
+    def __init__(self, learned, order):
+        self.order, self.tokens = order, sum(map(len, learned))
+        self.c = [collections.Counter() for _ in range(order + 1)]
+        for words in learned:
+            padded = ["<s>", *words]
+            for k in range(1, order + 1):
+                self.c[k].update(tuple(padded[i : i + k]) for i in range(len(padded) - k + 1))
+        self.starts = self.c[1].pop(("<s>",), 0)
+        self.follow = collections.Counter(g[:-1] for k in range(2, order + 1) for g in self.c[k])
+        self.d = []
+        for k in range(1, order + 1):
+            n = collections.Counter(self.c[k].values())
+            self.d.append(min(0.95, max(0.05, n[1] / (n[1] + 2 * n[2]))) if n[1] else 0.5)
+
+    def p(self, history, word):
+        if not history:
+            n = self.c[1][word,]
+            return ((n - self.d[0]) / self.tokens) if n else self.d[0] * len(self.c[1]) / self.tokens
+        total = self.starts if history == ("<s>",) else self.c[len(history)][history]
+        if not total:
+            return self.p(history[1:], word)
+        d = self.d[len(history)]
+        return (max(self.c[len(history) + 1][(*history, word)] - d, 0) + d * self.follow[history] * self.p(history[1:], word)) / total
+
+    def score(self, words):
+        padded = ["<s>", *words]
+        return sum(math.log10(self.p(tuple(padded[max(0, i - self.order + 1) : i]), padded[i])) for i in range(1, len(padded)))
+
+
+def lm_texts(kind):
     r = random.Random(4)
-    if texts is None:
-        vocabulary = ["the", "a", "cat", "dog", "sat", "ran", "on", "mat"]
-        texts = [(k, " ".join(r.choice(vocabulary) if r.random() < 0.9 else f"rare{r.randrange(400)}" for _ in range(r.randint(1, 40)))) for k in range(250)]
-        texts += [(900, None), (901, ""), (902, "THE Cat"), (902, "THE Cat"), (None, "the"), (903, "dog " * 3000)]
-    df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, block int")
-    train = lambda i: common.fold(i, 7) != 2
-    got = lm.score(df, train, frequent=0.005, kept=0.0005).collect()
-    learned = [lm.words_of(t) for i, t in texts if i is not None and common.fold_of(i, 7) != 2]
-    c = collections.Counter(w for x in learned for w in x)
-    n, v = sum(c.values()), len(c)
-    assert len(got) == len(texts)
-    rows = lm.blocked(df, "doc_id", "text", train)
-    model, _, place = lm.fit(rows, frequent=0.005, kept=0.0005)
-    text = dict(texts)
-    for row in got:
-        w = lm.words_of(text[row.doc_id])
-        assert (row.n_tokens, row.n_known, row.train_tokens) == (len(w), sum(x in c for x in w), n)
-        assert row.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert row.score == pytest.approx(model.traverse([model.words.get(x, -1) for x in w], model.unigram(np.array([c[x] for x in w], float)).tolist()), abs=1e-6)
-    if texts:
-        assert len(model.arcs) == 2 and len(model.arcs[1][0])
-        uni = lambda x: float(model.unigram(np.array([float(c[x])]))[0])
-        for state in [(), (0,), (1,), *((int(h) // model.base, int(h) % model.base) for h in model.states[1][0][:5])]:
-            total = sum(10 ** model.step(state, model.words.get(x, -1), uni(x))[1] for x in c) + 10 ** model.step(state, -1, uni(b"?"))[1]
-            assert total == pytest.approx(1)
-
-
-def test_language_model_leaves_no_ngram_out(spark, monkeypatch):
-    """The scores by blocks and ranges are those of the automaton with every n-gram, singletons and rare words too."""
-    r = random.Random(9)
-    texts = [(k, " ".join(r.choice("abcde") if r.random() < 0.7 else f"rare{r.randrange(300)}" for _ in range(r.randint(0, 30)))) for k in range(200)]
-    texts += [(900, None), (902, "A b"), (902, "A b"), (None, "a"), (903, "once only seen here"), (904, "once only seen here")]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
+    if kind == "none":
+        return []
+    if kind == "unlearned":  # both are held out
+        return [(i, "a b") for i in range(200) if common.fold_of(i, 7) == 2]
+    texts = [(k, " ".join(r.choice(["the", "a", "cat", "dog", "sat", "ran", "on", "mat"]) if r.random() < 0.8 else f"rare{r.randrange(200)}" for _ in range(r.randint(0, 40)))) for k in range(250)]
+    return texts + [(900, None), (901, ""), (902, "THE Cat"), (902, "THE Cat"), (None, "the"), (903, "dog " * 3000), (904, "once only seen here"), (905, "once only seen here"), (906, "\U0001f600 \u00c9 \x00 z")]
+
+
+@pytest.mark.parametrize("kind,order,size", [("all", 3, None), ("all", 3, 3000), ("all", 2, 3000), ("all", 1, None), ("all", 4, 3000), ("none", 3, None), ("unlearned", 3, None)])
+def test_language_model_against_plain_counts(spark, monkeypatch, kind, order, size):
+    texts = lm_texts(kind)
+    if size:  # many blocks and ranges, and texts read alone and in step
+        monkeypatch.setattr(lm, "BLOCK_BYTES", size)
+        monkeypatch.setattr(lm, "RANGE_KEYS", 500)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], "doc_id long, text string, block string, span int")
     train = lambda i: common.fold(i, 7) != 2
-    model, _, _ = lm.fit(lm.blocked(df, "doc_id", "text", train), frequent=0, kept=0)
+    got = lm.score(df, train, order=order).collect()
     learned = [lm.words_of(t) for i, t in texts if i is not None and common.fold_of(i, 7) != 2]
-    c = collections.Counter(w for x in learned for w in x)
-    assert set(model.words) == set(c)
-    assert len(model.arcs[0][0]) == len({g for x in learned for g in zip([None, *x], x)})
-    assert len(model.arcs[1][0]) == len({g for x in learned for g in zip([None, *x], x, x[1:])})
-    uni = lambda w: model.unigram(np.array([c[x] for x in w], float)).tolist()
-    want = sorted((repr(i), round(model.traverse([model.words.get(x, -1) for x in w], uni(w)), 6)) for i, t in texts for w in [lm.words_of(t)])
-    for size in (lm.BLOCK_BYTES, 2000):
-        monkeypatch.setattr(lm, "BLOCK_BYTES", size)
-        got = sorted((repr(x.doc_id), x.score) for x in lm.score(df, train).collect())
-        assert [i for i, _ in got] == [i for i, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=2e-6)
+    model = BruteModel(learned, order)
+    c, n, v = model.c[1], model.tokens, len(model.c[1])
+    row = lambda i, w, *more: (repr(i), len(w), sum((x,) in c for x in w), n, *(round(x, 6) for x in more))
+    want = sorted(row(i, w, sum(math.log10((c[x,] + 1) / (n + v + 1)) for x in w), model.score(w) if n else 0.0) for i, t in texts for w in [lm.words_of(t)])
+    have = sorted((repr(x.doc_id), x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in got)
+    assert [x[:4] for x in have] == [x[:4] for x in want]
+    assert [y for x in have for y in x[4:]] == pytest.approx([y for x in want for y in x[4:]], abs=1e-5)
+    if kind == "all":
+        for history in [(), ("<s>",), (b"the",), (b"cat", b"sat"), ("<s>", b"a")]:
+            if len(history) < order:
+                assert sum(model.p(history, x) for (x,) in c) + model.p(history, b"?") == pytest.approx(1)
+
+
+def test_language_model_in_step_and_alone():
+    r = random.Random(6)
+    texts = [[r.randrange(12) for _ in range(r.choice([1, 5, 30, 200]))] for _ in range(60)]
+    words = sorted({w for t in texts for w in t})
+    x = np.array([w for t in texts for w in t])
+    hashes = np.sort(np.array([lm._END_HASH, *range(1000, 1000 + len(words))], np.uint64))
+    b = lm.Block(lm.pack(np.array([len(t) for t in texts])), lm.pack(np.ones(60)), lm.pack(x), lm.pack_keys(hashes), 3)
+    counts = np.concatenate(b.own) * (np.arange(sum(map(len, b.keys))) % 3 > 0)
+    counts[: b.width] = b.own[0]
+    m = lm.Automaton(b, counts, np.minimum(counts, 2), lm.Sums(int(b.own[0].sum()), 12, [0.5, 0.5, 0.5]))
+    in_step = m.traverse(b.first, b.sizes)
+    m.ALONE = 1 << 30
+    assert m.traverse(b.first, b.sizes) == pytest.approx(in_step, nan_ok=True)
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [1 << 63, 3, (1 << 64) - 1, 0], list(range(1000, 0, -1))])
+def test_packed_numbers(values):
+    x = np.array(values, np.uint64)
+    assert lm.unpack(lm.pack(x)).tolist() == values and lm.unpack_keys(lm.pack_keys(np.sort(x))).tolist() == sorted(values)
+    assert lm._order(x).tolist() == np.argsort(x, kind="stable").tolist()
 
 
 def page_rows():

@@ -1,41 +1,46 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are word histories, arcs are seen continuations with their smoothed log
-probability, and a failure arc leads from each history to the one without its
-first word, at the weight that the seen continuations leave. A text's score is
-that of one traversal from left to right that carries the state (step, traverse); it
-is worked out by lookups of each position's history, many at once, and tested against
-the traversal.
-
-Unigrams, bigrams and trigrams are exact over all training texts; none is left out.
-Their number grows with the corpus, so that they are never sent whole to one place:
-texts are hashed into blocks of about BLOCK_BYTES, every block counts its words, a
-window over buckets of words adds them up and numbers them, and each block gets back
-the numbers and counts of its own words only. Then each block packs its distinct
-bigrams and trigrams by ranges of the middle word (the first of a bigram); a range
-adds up what all blocks hold, works out arcs and failure weights, and hands each
-block the scores of its own n-grams, in the order in which they came. One range has
-all n-grams around a word: the most frequent word's are in one task.
-
-With `frequent` or `kept`, n-grams are held only among words with at least that share
-of all tokens, and only where they make up that share; such an automaton fits into
-one place (see fit) and is for small models and tests.
-
-Smoothing is absolute discounting: D = n1 / (n1 + 2 n2) from the counts of counts;
-what is taken from the words seen is the probability of an unknown word, a single
-symbol. Each history's probabilities sum to 1 over all known words, the end and the
-unknown word. Words are told apart by 64-bit hashes.
+States are word histories of the training texts, arcs their seen continuations with
+smoothed log probabilities, and a failure arc leads from each history to the one
+without its first word, at the weight that the seen continuations leave. A text's
+score is that of one traversal from left to right that carries the state
+(Automaton.traverse, all texts of a block in step): where a state has no arc for the next word, its failure arc is
+taken and its weight added, until some state has one; the start has one for all words.
+
+All n-grams of up to `order` words are counted over all training texts; none is left
+out. Their number grows with the corpus, so that they are never whole in one place:
+
+1. Texts are read into blocks of about BLOCK_BYTES, numbered word by word and written
+   to the shared folder; nothing is shuffled for that, and what follows starts there.
+2. Each block hands its distinct n-grams, as sorted keys with their training
+   counts, to ranges of keys. A range adds up what all blocks hold and answers each
+   block in the order in which it asked. Keys are hashes of whole n-grams, so that
+   ranges are even whatever word, history or text is frequent: an n-gram comes once
+   from a block at most. For each n-gram one of its blocks is told to count it.
+3. Each block counts, of the n-grams it was told to, how many continue each history;
+   the ranges add these up, again by the history's own key, and answer.
+4. Each block builds the part of the automaton that its n-grams make, and traverses
+   its texts. Every arc or failure arc that a text of the block takes is in that part.
+
+Smoothing is interpolated absolute discounting: for a history h seen C(h) times, with
+T(h) distinct continuations, P(w | h) = (max(c(hw) - D, 0) + D T(h) P(w | h')) / C(h),
+with h' the history without its first word; so D T(h) / C(h) is the failure arc's
+weight. D = n1 / (n1 + 2 n2) for each order, from the counts of counts. What unigrams
+lose is the probability of an unknown word, a single symbol. Each history's
+probabilities sum to 1 over all known words, the end and the unknown word. N-grams
+are told apart by their length and by hashes of so many bits that less than one pair
+of different ones is expected to be taken for one, in all (bits_for).
 
 Defined results: null and empty texts consist of the end only; without training
 texts every word is unknown and has probability 1; equal rows are scored one by
-one; other columns aren't read.
+one; other columns aren't read; of no texts there are no rows.
 """
 
 from __future__ import annotations
 
 import gc
-import math
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,15 +48,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_BYTES, ORDER = 24 << 20, 3
-UNKNOWN, FIRST = 1, 2  # numbers of an unknown word and of the first known one; 0 starts a text
+BLOCK_BYTES, RANGE_KEYS, ORDER, MOST_PARTITIONS = 6 << 20, 2_500_000, 3, 20_000
 END = b"\x20"  # no word holds a blank
-NO = np.float32(-np.inf)
+START = 0  # a text's start, as a word of a block
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,9 +63,29 @@ def words_of(text: str | None) -> list[bytes]:
     return [*common.lower_ascii(text).split(), END]
 
 
-def key_of(word: bytes) -> int:
-    """The word's hash as a signed number."""
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+def pack(x: np.ndarray) -> bytes:
+    """Numbers of 0 and more: bytes of the same weight side by side, compressed."""
+    x = np.asarray(x).astype("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return np.array([len(x), width], "<i8").tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    n, width = np.frombuffer(raw[:16], "<i8").tolist()
+    body = pa.decompress(raw[16:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8).reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, by their distances."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=np.uint64)
 
 
 class _Numbers(dict):
@@ -72,434 +96,375 @@ class _Numbers(dict):
         return n
 
 
-@dataclass
-class Automaton:
-    """Arcs of each order as sorted codes with weights; frequent words are numbered from 1, 0 starts a text."""
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
-    words: dict[bytes, int]
-    tokens: int
-    vocabulary: int
-    discount: float
-    arcs: list[tuple[np.ndarray, np.ndarray]]  # by order 2, 3, ...: codes, log10 probability
-    states: list[tuple[np.ndarray, np.ndarray]]  # by length of history 1, 2, ...: codes, log10 weight of the failure arc
 
-    @property
-    def base(self) -> int:
-        return len(self.words) + 2
+def _mix(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = (history ^ (history >> np.uint64(31))) * _M1 + word
+    x = (x ^ (x >> np.uint64(32))) * _M2
+    return x ^ (x >> np.uint64(29))
 
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        """log10 probabilities for counts; of an unknown word for 0."""
-        if not self.tokens:
-            return np.zeros(len(counts))
-        lost = self.discount * self.vocabulary / self.tokens
-        return np.log10(np.where(counts > 0, (counts - self.discount) / self.tokens, max(lost, 1e-300)))
-
-    def step(self, state: tuple[int, ...], number: int, unigram: float) -> tuple[tuple[int, ...], float]:
-        """One move: the next state and the log probability of the word (number -1 if it isn't frequent)."""
-        weight, h = 0.0, state
-        while h:
-            if number >= 0 and (p := _at(self.arcs[len(h) - 1], _code((*h, number), self.base))) is not None:
-                break
-            weight += _at(self.states[len(h) - 1], _code(h, self.base)) or 0.0
-            h = h[1:]
-        else:
-            p = unigram
-        after = (*state, number) if number >= 0 else ()
-        after = after[-len(self.states) :] if self.states else ()
-        while after and _at(self.states[len(after) - 1], _code(after, self.base)) is None:
-            after = after[1:]
-        return after, weight + p
-
-    def traverse(self, numbers: list[int], unigrams: list[float]) -> float:
-        state: tuple[int, ...] = (0,) if self.states and _at(self.states[0], 0) is not None else ()
-        total = 0.0
-        for n, u in zip(numbers, unigrams):
-            state, p = self.step(state, n, u)
-            total += p
-        return total
 
-    def score(self, numbers: np.ndarray, unigrams: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The same for many texts on end, all moves of an order at once: the history of a move is the longest of the words before it that is a state. first marks the texts' first words."""
-        total = unigrams.astype(np.float64).copy()
-        n = len(numbers)
-        before = [numbers.astype(np.int64)]
-        for k in range(1, len(self.states) + 1):
-            h = np.full(n, -1, np.int64)
-            h[1:] = before[-1][:-1]
-            h[first] = 0 if k == 1 else -1
-            before.append(h)
-        # lowest order first: a longer history's arc or failure weight goes over what is below
-        for k in range(1, len(self.states) + 1):
-            good = before[1] >= 0
-            for j in range(2, k + 1):
-                good &= before[j] >= 0
-            if k > 1:  # 0, the start, is a history by its own only
-                for j in range(1, k):
-                    good &= before[j] > 0
-            at = np.flatnonzero(good)
-            if not len(at) or not len(self.states[k - 1][0]):
-                continue
-            code = before[k][at]
-            for j in range(k - 1, 0, -1):
-                code = code * self.base + before[j][at]
-            weight = _look(self.states[k - 1], code)
-            known = ~np.isnan(weight)
-            at, code, weight = at[known], code[known], weight[known]
-            word = numbers[at]
-            arc = np.where(word >= 0, _look(self.arcs[k - 1], code * self.base + np.maximum(word, 0)), np.nan)
-            total[at] = np.where(np.isnan(arc), total[at] + weight, arc)
-        return total
+_START_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"", 1))
+_END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 
 
-def _code(h: tuple[int, ...], base: int) -> int:
-    out = 0
-    for x in h:
-        out = out * base + x
-    return out
+def bits_for(n: int) -> int:
+    """Bits of keys for n n-grams: so many that less than one pair of different ones is expected to share a key, in all; 56 at least, 64 at most."""
+    return min(64, max(56, 2 * n.bit_length() + 2))
 
 
-def _at(pair: tuple[np.ndarray, np.ndarray], code: int) -> float | None:
-    k = int(np.searchsorted(pair[0], code))
-    return float(pair[1][k]) if k < len(pair[0]) and pair[0][k] == code else None
+def _key(hashed: np.ndarray, order: int, last_is_end: np.ndarray, bits: int) -> np.ndarray:
+    """The last three bits hold the n-gram's length (1 to 4, less one) and whether it ends a text."""
+    return (hashed >> np.uint64(67 - bits) << np.uint64(3)) | np.uint64((order - 1) << 1) | last_is_end.astype(np.uint64)
 
 
-def _look(pair: tuple[np.ndarray, np.ndarray], codes: np.ndarray) -> np.ndarray:
-    if not len(pair[0]):
-        return np.full(len(codes), np.nan)
-    k = np.minimum(np.searchsorted(pair[0], codes), len(pair[0]) - 1)
-    return np.where(pair[0][k] == codes, pair[1][k], np.nan)
+BLOCKS = "block string, ids array<{kind}>, tokens long, sizes binary, train binary, x binary, words binary"
 
 
-def build(words: list[tuple[bytes, int]], tokens: int, vocabulary: int, ones: int, twos: int, texts: int, grams: list[tuple[np.ndarray, np.ndarray]]) -> Automaton:
-    """words: frequent ones with counts, numbered from 1 in this order. grams: codes and counts of orders 2, 3, ..., sorted by code; 0 stands for the start."""
-    d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    out = Automaton({w: k + 1 for k, (w, _) in enumerate(words)}, tokens, vocabulary, d, [], [])
-    if not tokens:
-        return out
-    base = out.base
-    counts = np.array([texts, *(c for _, c in words)], np.float64)
-    low = out.unigram(counts)
-    low[0] = -np.inf
-    history, total = np.flatnonzero(counts > 0).astype(np.int64), counts
-    total = total[history]
-    for order, (codes, n) in enumerate(grams, 2):
-        head, tail = codes // base, codes % base
-        at = np.searchsorted(history, head)
-        good = (at < len(history)) & (history[np.minimum(at, max(0, len(history) - 1))] == head) if len(history) else np.zeros(len(codes), bool)
-        codes, n, head, tail, at = codes[good], n[good].astype(np.float64), head[good], tail[good], at[good]
-        p = (n - d) / total[at]
-        # probability of the same words one order below
-        if order == 2:
-            q = 10 ** low[tail]
-        else:
-            q = 10 ** _below(out, head, tail, low, order - 1)
-        seen, below = np.zeros(len(history)), np.zeros(len(history))
-        np.add.at(seen, at, p)
-        np.add.at(below, at, q)
-        weight = np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - below, 1e-12))
-        used = np.unique(at)
-        out.states.append((history[used], weight[used]))
-        out.arcs.append((codes, np.log10(p)))
-        history, total = codes, n
-        keep = codes % base != 0
-        history, total = history[keep], total[keep]
-    return out
-
-
-def _below(a: Automaton, head: np.ndarray, tail: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
-    """log10 P(tail | head without its first word) by arcs of at most `order`."""
-    if order == 1:
-        return low[tail]
-    short = head % a.base ** (order - 1)
-    arc = _look(a.arcs[order - 2], short * a.base + tail)
-    weight = np.nan_to_num(_look(a.states[order - 2], short), nan=0.0)
-    return np.where(np.isnan(arc), weight + _below(a, short, tail, low, order - 1), arc)
-
-
-def block_count(docs: DataFrame, text_col: str = "text") -> int:
-    size = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
-    return max(1, -(-size // BLOCK_BYTES))
-
-
-def blocked(docs: DataFrame, id_col: str, text_col: str, training, blocks: int | None = None) -> DataFrame:
-    """doc_id, text, train, block."""
-    rows = common.texts(docs, id_col, text_col)
-    blocks = blocks or block_count(docs, text_col)
-    return rows.withColumn("train", F.coalesce(training(F.col("doc_id")), F.lit(False))).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-
-
-def apart(rows: DataFrame, blocks: int | None) -> DataFrame:
-    """Rows by block over four times as many partitions, so that blocks seldom meet in one."""
-    return rows.repartition(4 * blocks, "block") if blocks else rows
-
-
-def _count_block(frequent: float):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        numbers, counts, total = _Numbers(), np.zeros(0, np.int64), 0
-        for batch in table.select(["text", "train"]).to_batches(64):
-            texts, train = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            got = [w for t, yes in zip(texts, train) if yes for w in words_of(t)]
-            ids = np.fromiter(map(numbers.__getitem__, got), np.int64, len(got))
-            for t, yes in zip(texts, train):
-                if not yes:
-                    for w in set(words_of(t)):
-                        numbers[w]
-            total += len(ids)
-            new = np.bincount(ids, minlength=len(numbers))
-            new[: len(counts)] += counts
-            counts = new
-        words = list(numbers)
-        shown = [w if c >= frequent * total and c else None for w, c in zip(words, counts.tolist())]
-        return pa.table({"block": pa.array(np.full(len(words), key[0].as_py(), np.int32)), "word_key": pa.array(np.fromiter(map(key_of, words), np.int64, len(words))), "n": pa.array(counts), "word": pa.array(shown, pa.binary())})
+def blocks_of(rows: DataFrame) -> tuple[DataFrame, str]:
+    """The kept table of blocks from rows (doc_id, text, train), and its place. A block's name is made where it is written: only those of committed tasks are in the table."""
+    kind = rows.schema["doc_id"].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    return run
+    id_type = to_arrow_type(kind)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, ids, sizes, train, parts, size = _Numbers(), [], [], [], [], 0
 
-def count(rows: DataFrame, frequent: float, blocks: int | None) -> tuple[DataFrame, DataFrame, str]:
-    """The kept table (block, word_key, c, number, word, first) with each word's training count and number, its rows of one a word, and its place."""
-    counted = apart(rows.select("text", "train", "block"), blocks).groupBy("block").applyInArrow(_count_block(frequent), "block int, word_key long, n long, word binary")
-    buckets = 4 * (blocks or 1)
-    counted = counted.withColumn("bucket", F.pmod("word_key", F.lit(buckets)))
-    w = Window.partitionBy("bucket", "word_key")
-    number = (F.dense_rank().over(Window.partitionBy("bucket").orderBy("word_key")) - 1).cast("long") * buckets + F.col("bucket") + FIRST
-    table, place = common.keep(counted.select("block", "word_key", F.sum("n").over(w).alias("c"), number.alias("number"), F.max("word").over(w).alias("word"), (F.row_number().over(w.orderBy("block")) == 1).alias("first")), "counts")
-    return table, table.where("first and c > 0"), place
-
-
-def fit(rows: DataFrame, order: int = ORDER, frequent: float = 0, kept: float = 0, blocks: int | None = None) -> tuple[Automaton, DataFrame, str]:
-    """From blocked rows, in one place: the automaton, and the kept table (block, word_key, c) with each word's training count."""
-    table, one, place = count(rows, frequent, blocks)
-    s = one.agg(F.sum("c").alias("tokens"), F.count("*").alias("words"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
-    tokens = s.tokens or 0
-    top = [(bytes(r.word), int(r.c)) for r in one.where(F.col("word").isNotNull() & (F.col("c") >= F.lit(frequent * tokens))).orderBy(F.desc("c"), "word_key").select("word", "c").collect()]
-    texts = next((c for x, c in top if x == END), 0)
-    number = {x: k + 1 for k, (x, _) in enumerate(top)}
-    base = len(number) + 2
-    least = max(1, math.ceil(kept * tokens))
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {k: [] for k in range(2, order + 1)}
-        size = 0
-
-        def flush():
-            for k, parts in held.items():
-                if parts:
-                    codes = np.concatenate([c for c, _ in parts])
-                    n = np.concatenate([m for _, m in parts])
-                    at, where = np.unique(codes, return_inverse=True)
-                    yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k, np.int32)), "code": pa.array(at), "n": pa.array(np.bincount(where, n).astype(np.int64))})
-                parts.clear()
+        def flush() -> pa.RecordBatch:
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            x = place[np.concatenate(parts)]
+            values = [[f"{uuid.uuid4().hex}"], pa.array([ids], pa.list_(id_type)), pa.array([len(x)], pa.int64()), [pack(sizes)], [pack(np.array(train, np.int64))], [pack(x)], [pack_keys(hashes[order])]]
+            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, pa.string() if isinstance(v[0], str) else pa.binary()) for v in values], names=["block", "ids", "tokens", "sizes", "train", "x", "words"])
 
         for batch in batches:
-            got, ends = [], []
-            for t in batch.column(0).to_pylist():
-                got += words_of(t)
-                ends.append(len(got))
-            x = np.fromiter((number.get(w, -1) for w in got), np.int64, len(got))
-            first = np.array([0, *ends[:-1]], np.int64)
-            h = np.full(len(x), -1, np.int64)
-            h[1:] = x[:-1]
-            h[first] = 0
-            code, good = h, h >= 0
-            for k in range(2, order + 1):
-                ok = good & (x >= 0)
-                codes, n = np.unique(code[ok] * base + x[ok], return_counts=True)
-                held[k].append((codes, n))
-                size += len(codes)
-                if k < order:  # histories of more words: the start is none of them
-                    older = np.full(len(x), -1, np.int64)
-                    older[1:] = np.where(good & (x >= 0), code * base + x, -1)[:-1]
-                    older[first] = -1
-                    code, good = older, (older >= 0) & (h > 0)
-            if size > 1_000_000:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    if number and order > 1:
-        got = common.map_batches(rows.where("train").select("text"), grams, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow().sort_by([("k", "ascending"), ("code", "ascending")])
-        size, codes, counts = (got[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("k", "code", "n"))
+            for i, text, yes in zip(*(c.to_pylist() for c in batch.columns)):
+                got = words_of(text)
+                parts.append(np.fromiter(map(seen.__getitem__, got), np.int64, len(got)))
+                ids.append(i)
+                sizes.append(len(got))
+                train.append(bool(yes))
+                size += len(text or "") + 16
+                if size >= BLOCK_BYTES:
+                    yield flush()
+                    seen, ids, sizes, train, parts, size = _Numbers(), [], [], [], [], 0
+        if ids:
+            yield flush()
+
+    return common.keep(common.map_batches(rows.select("doc_id", "text", "train"), run, BLOCKS.format(kind=kind.simpleString())), "blocks")
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable argsort of numbers from 0 up: sorting leading bits with the places behind them is much faster."""
+    if not len(x):
+        return np.zeros(0, np.int64)
+    x = x.astype(np.uint64, copy=False)
+    low, high = int(x.min()), int(x.max())
+    places = len(x).bit_length()
+    drop = max(0, (high - low).bit_length() + places - 64)
+    by = np.sort((x - np.uint64(low)) >> np.uint64(drop) << np.uint64(places) | np.arange(len(x), dtype=np.uint64))
+    by = (by & np.uint64((1 << places) - 1)).astype(np.int64)
+    if drop:
+        y = x[by]
+        if (y[1:] < y[:-1]).any():  # different numbers of the same leading bits
+            return np.argsort(x, kind="stable")
+    return by
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes, a place of each, and which of them is at each place."""
+    by = _order(codes)
+    codes = codes[by]
+    new = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=new[1:])
+    inverse = np.empty(len(codes), np.int64)
+    inverse[by] = np.cumsum(new) - 1
+    return codes[new], by[new], inverse
+
+
+class Block:
+    """A block's n-grams. Words are numbered from 1; START stands before each text."""
+
+    def __init__(self, sizes: bytes, train: bytes, x: bytes, words: bytes, order: int, bits: int = 64):
+        self.sizes = unpack(sizes).astype(np.int64)
+        self.hashes = np.concatenate([[_START_HASH], unpack_keys(words)])
+        x = unpack(x).astype(np.int64) + 1
+        self.width, texts = len(self.hashes), len(self.sizes)
+        first = np.cumsum(np.concatenate([[0], self.sizes[:-1] + 1]))
+        self.first = first
+        y = np.zeros(len(x) + texts, np.int64)
+        real = np.ones(len(y), bool)
+        real[first] = False
+        y[real] = x
+        at = np.arange(len(y)) - np.repeat(first, self.sizes + 1)  # place within the text, START's is 0
+        learned = np.repeat(unpack(train).astype(bool), self.sizes + 1)
+        self.y, self.real = y, real
+        self.end = int(np.searchsorted(self.hashes[1:], _END_HASH)) + 1
+        # by order: keys, own training counts, numbers of history, suffix and last word; and of the n-gram that ends at each place
+        self.keys, self.own, self.history, self.suffix, self.last = [_key(self.hashes, 1, np.arange(self.width) == self.end, bits)], [np.bincount(y[learned], minlength=self.width)], [None], [None], [np.arange(self.width)]
+        self.grams = [y]
+        gram, hashed = y, self.hashes
         for k in range(2, order + 1):
-            found.append((codes[size == k], counts[size == k]))
-    return build(top, tokens, s.words or 0, s.ones or 0, s.twos or 0, texts, found), table.select("block", "word_key", "c"), place
+            where = np.flatnonzero(at >= k - 1)
+            codes, one, inverse = _distinct(gram[where - 1] * self.width + y[where])
+            history, last = codes // self.width, codes % self.width
+            self.suffix.append(gram[where[one]])
+            self.history.append(history)
+            self.last.append(last)
+            hashed = _mix(hashed[history], self.hashes[last])
+            self.keys.append(_key(hashed, k, last == self.end, bits))
+            self.own.append(np.bincount(inverse[learned[where]], minlength=len(codes)))
+            gram = np.zeros(len(y), np.int64)  # no state is long enough to ask where there is none
+            gram[where] = inverse
+            self.grams.append(gram)
+        self.cuts = np.cumsum([len(k) for k in self.keys])[:-1]
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys in order, and their places before."""
+        keys = np.concatenate(self.keys)
+        order = _order(keys)
+        return keys[order], order
+
+    def asked(self, counts: np.ndarray) -> np.ndarray:
+        """The histories, of those in all orders but the last, whose continuations aren't known from their count: none of the ended, one of those seen once."""
+        keys = np.concatenate(self.keys[:-1]) if len(self.keys) > 1 else np.zeros(0, np.uint64)
+        return np.flatnonzero((counts[: len(keys)] > 1) & (keys & np.uint64(1) == 0))
+
+
+def range_of(keys: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
+    """Ranges of keys, in the keys' order."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _parts(block: str, keys: np.ndarray, n: np.ndarray, ranges: int, bits: int) -> pa.RecordBatch:
+    """Sorted keys and numbers as one row for each range that has some."""
+    cut = np.searchsorted(range_of(keys, ranges, bits), np.arange(ranges + 1))
+    some = [(r, a, b) for r, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if a < b]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block] * len(some), pa.string()), pa.array([r for r, _, _ in some], pa.int32()), pa.array([pack_keys(keys[a:b]) for _, a, b in some], pa.binary()), pa.array([pack(n[a:b]) for _, a, b in some], pa.binary())],
+        names=["block", "span", "keys", "n"],
+    )
+
+
+PARTS = "block string, span int, keys binary, n binary"
+ANSWERS = "block string, span int, data binary, tag int, value long, n long, total long"
+
+
+def _ask(order: int, ranges: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = Block(row["sizes"], row["train"], row["x"], row["words"], order, bits)
+                keys, place = b.sorted()
+                yield _parts(row["block"], keys, np.concatenate(b.own)[place], ranges, bits)
 
+    return run
 
-def pack(x: np.ndarray) -> bytes:
-    """Numbers of 0 and more, by distinct values where these are few; bytes of the same weight side by side."""
-    x = np.asarray(x)
-    if x.dtype.kind == "f":
-        values, x = np.unique(x, return_inverse=True)
-        head = values.tobytes()
-    else:
-        head = b""
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-    body = pa.compress(head + planes, codec="zstd", asbytes=True)
-    return np.array([len(x), width, len(head)], "<i8").tobytes() + body
 
+def _together(parts: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a range's rows: the rows in the blocks' order, their sizes, the order of all keys, where each distinct key starts in it, to which of these each belongs, and the numbers in that order."""
+    parts = parts.sort_by("block")
+    each = [unpack_keys(x.as_py()) for x in parts.column("keys")]
+    sizes = [len(x) for x in each]
+    keys = np.concatenate(each)
+    del each
+    order = _order(keys)
+    keys = keys[order]
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    n = np.concatenate([unpack(x.as_py()) for x in parts.column("n")]).astype(np.int64)[order]
+    return parts, sizes, order, np.flatnonzero(new), np.cumsum(new) - 1, n, keys
 
-def unpack(raw: bytes) -> np.ndarray:
-    n, width, head = np.frombuffer(raw[:24], "<i8").tolist()
-    body = pa.decompress(raw[24:], decompressed_size=head + n * width, codec="zstd", asbytes=True)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(body, np.uint8, offset=head).reshape(width, n).T
-    x = out.reshape(-1).view("<i8")
-    return np.frombuffer(body[:head], np.float64)[x] if head else x
 
+def _split(x: np.ndarray, order: np.ndarray, sizes: list[int]) -> list[bytes]:
+    back = np.empty(len(x), np.int64)
+    back[order] = x
+    return [pack(p) for p in np.split(back, np.cumsum(sizes)[:-1])]
 
-SLICES = 8  # of a block's ranges; the n-grams of one are in memory at a time
 
+def _bucket(c: np.ndarray) -> np.ndarray:
+    """Counts by their ten leading bits; only how many are 1 and 2 is used."""
+    shift = np.maximum(0, np.frexp(c.astype(np.float64))[1] - 10)
+    return (c >> shift) << shift
 
-@dataclass
-class _Grams:
-    """A slice of a block's distinct bigrams and trigrams, ordered by range, and the positions that hold them."""
-
-    at2: np.ndarray
-    of2: np.ndarray
-    at3: np.ndarray
-    of3: np.ndarray
-    v: np.ndarray
-    w: np.ndarray
-    c: np.ndarray
-    n2: np.ndarray
-    many: np.ndarray
-    u: np.ndarray
-    n3: np.ndarray
-
-
-class _Block:
-    """A block's words; its n-grams are the same for the same texts in any order."""
-
-    def __init__(self, texts: pa.Table, keys: np.ndarray, counts: np.ndarray, numbers: np.ndarray):
-        by = np.argsort(keys, kind="stable")
-        keys, counts, numbers = keys[by], counts[by], numbers[by]
-        seen, ids, self.sizes, learned = _Numbers(), [], [], []
-        for batch in texts.select(["text", "train"]).to_batches(256):
-            got = []
-            for t, yes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                before = len(got)
-                got += words_of(t)
-                self.sizes.append(len(got) - before)
-                learned.append(yes)
-            ids.append(np.fromiter(map(seen.__getitem__, got), np.int32, len(got)))
-        self.x = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        at = np.searchsorted(keys, np.fromiter(map(key_of, seen), np.int64, len(seen)))
-        self.counts, self.numbers = counts[at], np.where(counts > 0, numbers, UNKNOWN)[at]
-        self.first = np.cumsum([0, *self.sizes])[:-1]
-        self.train = np.repeat(np.array(learned, bool), self.sizes)
-        self.start = np.zeros(len(self.x), bool)
-        self.start[self.first] = True
-
-    def grams(self, ranges: int) -> Iterator[tuple[range, _Grams]]:
-        step = -(-ranges // SLICES)
-        before = np.zeros(len(self.x), np.int32)
-        before[1:] = (self.numbers % ranges)[self.x[:-1]]
-        before[self.start] = 0
-        known = np.ones(len(self.x), bool)
-        known[1:] = (self.numbers != UNKNOWN)[self.x[:-1]]
-        known[self.start] = True
-        for low in range(0, ranges, step):
-            at2 = np.flatnonzero((before >= low) & (before < low + step) & known)
-            yield range(low, min(low + step, ranges)), self._slice(at2, ranges)
-
-    def _slice(self, at2: np.ndarray, ranges: int) -> _Grams:
-        number = lambda at: self.numbers[self.x[at]]
-        start, train = self.start[at2], self.train[at2]
-        v = np.where(start, 0, number(at2 - 1))
-        # nothing is before the start
-        u = np.where(start, UNKNOWN, np.where(self.start[at2 - 1], 0, number(at2 - 2)))
-        code, one, inverse = np.unique(v << 32 | number(at2), return_index=True, return_inverse=True)
-        order = np.argsort((code >> 32) % ranges, kind="stable")
-        place = np.empty(len(code), np.int64)
-        place[order] = np.arange(len(code))
-        of2, code, c = place[inverse], code[order], self.counts[self.x[at2[one[order]]]]
-        deep = np.flatnonzero(u != UNKNOWN)
-        longer, of3 = np.unique(of2[deep] << 32 | u[deep], return_inverse=True)
-        return _Grams(
-            at2, of2, at2[deep], of3, code >> 32, code & 0xFFFFFFFF, c, np.bincount(of2[train], minlength=len(code)),
-            np.bincount(longer >> 32, minlength=len(code)), longer & 0xFFFFFFFF, np.bincount(of3[train[deep]], minlength=len(longer)),
-        )
-
-
-def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
-    return [table.column(c).to_numpy() for c in names]
-
-
-PACKED = ("v", "w", "c", "n2", "many", "u", "n3")
-
-
-def _pack_block(ranges: int):
-    def run(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        rows = []
-        for spans, g in _Block(texts, *_columns(counts, "word_key", "c", "number")).grams(ranges):
-            cut2 = np.searchsorted(g.v % ranges, np.arange(spans.start, spans.stop + 1))
-            cut3 = np.concatenate([[0], np.cumsum(g.many)])[cut2]
-            for r, i, j, k, m in zip(spans, cut2, cut2[1:], cut3, cut3[1:]):
-                if i < j:
-                    steps = np.diff(g.v[i:j] // ranges, prepend=0)
-                    rows.append((r, *map(pack, (steps, g.w[i:j], g.c[i:j], g.n2[i:j], g.many[i:j], g.u[k:m], g.n3[k:m]))))
-        columns = list(zip(*rows)) or [()] * (1 + len(PACKED))
-        return pa.table({"block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "span": pa.array(columns[0], pa.int32())} | {name: pa.array(x, pa.binary()) for name, x in zip(PACKED, columns[1:])})
+
+def _add(bits: int):
+    start = _key(np.array([_START_HASH]), 1, np.array([False]), bits)[0]
+
+    def run(key: tuple, parts: pa.Table) -> pa.Table:
+        """Answers of 2 * count + 1 where the block is the one to count the n-gram, else 2 * count; and counts of counts by the keys' last bits (-1 for START)."""
+        parts, sizes, order, starts, of, n, keys = _together(parts)
+        total = np.add.reduceat(n, starts)
+        yes = n > 0
+        before = np.cumsum(yes)
+        teller = yes & (before - (before[starts] - yes[starts])[of] == 1)
+        data = _split(total[of] * 2 + teller, order, sizes)
+        one = keys[starts]
+        tag = np.where(one == start, -1, (one & np.uint64(7)).astype(np.int64))
+        some = total > 0
+        tag, total = tag[some], total[some]
+        codes, inverse, many = np.unique((tag + 1) << 56 | _bucket(total), return_inverse=True, return_counts=True)
+        sums = np.zeros(len(codes), np.int64)
+        np.add.at(sums, inverse, total)
+        a, s = len(data), len(codes)
+        return pa.table({
+            "block": pa.array([*parts.column("block").to_pylist(), *[None] * s], pa.string()), "span": pa.array([*parts.column("span").to_pylist(), *[None] * s], pa.int32()), "data": pa.array([*data, *[None] * s], pa.binary()),
+            "tag": pa.array([*[None] * a, *((codes >> 56) - 1).tolist()], pa.int32()), "value": pa.array([*[None] * a, *(codes & ((1 << 56) - 1)).tolist()], pa.int64()), "n": pa.array([*[None] * a, *many.tolist()], pa.int64()), "total": pa.array([*[None] * a, *sums.tolist()], pa.int64()),
+        })
 
     return run
 
 
-def _score_range(model: Automaton):
-    d = model.discount
+def _add_continuations(key: tuple, parts: pa.Table) -> pa.Table:
+    parts, sizes, order, starts, of, n, _ = _together(parts)
+    return pa.table({"block": parts.column("block"), "span": parts.column("span"), "more": pa.array(_split(np.add.reduceat(n, starts)[of], order, sizes), pa.binary())})
 
-    def weights(at: np.ndarray, size: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """log10 of the failure arcs' weights; 0 where nothing is seen."""
-        return np.log10(np.maximum(1 - np.bincount(at, p, size), 1e-12) / np.maximum(1 - np.bincount(at, q, size), 1e-12))
 
-    def run(key: tuple, parts: pa.Table) -> pa.Table:
-        # within a range, a word's quotient by the number of ranges says which it is
-        each = {name: [unpack(x.as_py()) for x in parts.column(name)] for name in PACKED}
-        each["v"] = [np.cumsum(x) for x in each["v"]]
-        sizes2, sizes3 = [len(x) for x in each["v"]], [len(x) for x in each["u"]]
-        v, w, c, n2, many, u, n3 = (np.concatenate(each.pop(name)) for name in PACKED)
-        code, one, of2 = np.unique(v << 32 | w, return_index=True, return_inverse=True)
-        low, n = model.unigram(c[one]), np.bincount(of2, n2, len(code))
-        _, hist = np.unique(code >> 32, return_inverse=True)
-        size = int(hist.max(initial=-1)) + 1
-        total = np.bincount(hist, n, size)
-        has = n > 0
-        p = np.zeros(len(code))
-        p[has] = (n[has] - d) / total[hist[has]]
-        back = weights(hist[has], size, p[has], 10 ** low[has])
-        s2 = np.where(has, np.log10(np.where(has, p, 1)), back[hist] + low)
-        g = np.repeat(of2, many)
-        code, of3 = np.unique(g << 32 | u, return_inverse=True)
-        g, u, n = code >> 32, code & 0xFFFFFFFF, np.bincount(of3, n3, len(code))
-        _, deep = np.unique(hist[g] << 32 | u, return_inverse=True)
-        size = int(deep.max(initial=-1)) + 1
-        total = np.bincount(deep, n, size)
-        has = n > 0
-        p3 = np.zeros(len(code))
-        p3[has] = (n[has] - d) / total[deep[has]]
-        back = weights(deep[has], size, p3[has], p[g[has]])
-        s3 = np.where(has, np.log10(np.where(has, p3, 1)), back[deep] + s2[g])
-        split = lambda s, sizes: [pack(x) for x in np.split(s, np.cumsum(sizes)[:-1])]
-        return pa.table({"block": parts.column("block"), "span": parts.column("span"), "s2": pa.array(split(s2[of2], sizes2), pa.binary()), "s3": pa.array(split(s3[of3], sizes3), pa.binary())})
+@dataclass
+class Sums:
+    """What the whole corpus says of itself: tokens, distinct words, and the discount of each order."""
+
+    tokens: int
+    vocabulary: int
+    discounts: list[float]
+
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        """Probabilities for counts; of an unknown word for 0."""
+        if not self.tokens:
+            return np.ones(len(counts))
+        d = self.discounts[0]
+        return np.where(counts > 0, (counts - d) / self.tokens, max(d * self.vocabulary / self.tokens, 1e-300))
+
+
+def sums_of(stats: list, order: int) -> Sums:
+    """From rows (tag, value, n, total)."""
+    by = {k: [r for r in stats if r.tag >= 0 and r.tag >> 1 == k - 1] for k in range(1, order + 1)}
+    ones, twos = ({k: sum(r.n for r in rows if r.value == v) for k, rows in by.items()} for v in (1, 2))
+    return Sums(sum(r.total for r in by[1]), sum(r.n for r in by[1]), [min(0.95, max(0.05, ones[k] / (ones[k] + 2 * twos[k]))) if ones[k] else 0.5 for k in by])
+
+
+class Automaton:
+    """The part of the automaton that a block's n-grams make.
+
+    States and arcs are n-grams, numbered over all orders on end. The block has numbered
+    the n-grams that end at each place, so that an arc is found by its number: that of
+    the state's words and the next one. A state that holds the last k words read is
+    carried as k. Each arc has its log10 probability and the length of the state after
+    it, each state the weight of its failure arc, which leads to the state of k - 1 words.
+    """
+
+    ALONE = 24  # so few texts are traversed one by one, more of them in step
+
+    def __init__(self, b: Block, counts: np.ndarray, continued: np.ndarray, sums: Sums):
+        by, t, order = np.split(counts, b.cuts), np.split(continued, b.cuts), len(b.keys)
+        p = sums.unigram(by[0].astype(np.float64))
+        chance, back, after = [p], [], []
+        longest = ((by[0] > 0) & (b.last[0] != b.end) & (order > 1)).astype(np.int8)
+        after.append(longest)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k in range(2, order + 1):
+                h, s, d = b.history[k - 1], b.suffix[k - 1], sums.discounts[k - 1]
+                c, total = by[k - 1].astype(np.float64), by[k - 2].astype(np.float64)
+                back.append(np.log10(d * t[k - 2] / total))
+                p = (np.maximum(c - d, 0) + d * t[k - 2][h] * p[s]) / total[h]
+                chance.append(p)
+                longest = np.where((c > 0) & (b.last[k - 1] != b.end) & (k < order), k, longest[s]).astype(np.int8)
+                after.append(longest)
+            self.weight = np.log10(np.concatenate(chance))
+        self.seen, self.back, self.after = counts > 0, np.concatenate(back) if back else np.zeros(0), np.concatenate(after)
+        self.seen[: b.width] = True  # the start has an arc for every word, unknown ones too
+        offsets = np.concatenate([[0], b.cuts])
+        self.arcs = np.stack([g + o for g, o in zip(b.grams, offsets)])  # by length of state and place
+        self.first = int(order > 1 and by[0][START] > 0)
+
+    def traverse(self, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the texts whose START is at `first`: each is read once from left to right, all of them a word at a time."""
+        order = np.argsort(-sizes, kind="stable")
+        at, left = first[order], np.sort(sizes)
+        total, state = np.zeros(len(at)), np.full(len(at), self.first, np.int64)
+        arcs, places = self.arcs.ravel(), self.arcs.shape[1]
+        for step in range(1, int(sizes.max(initial=0)) + 1):
+            m = len(at) - int(np.searchsorted(left, step))  # texts with so many words
+            if m < self.ALONE:
+                for i in range(m):
+                    total[i] = self._alone(int(at[i]) + step, int(at[i] + sizes[order[i]]) + 1, int(state[i]), float(total[i]))
+                break
+            place, k = at[:m] + step, state[:m]
+            arc = arcs[k * places + place]
+            stuck = np.flatnonzero(~self.seen[arc])
+            while len(stuck):
+                total[stuck] += self.back[arcs[(k[stuck] - 1) * places + place[stuck] - 1]]
+                k[stuck] -= 1
+                arc[stuck] = arcs[k[stuck] * places + place[stuck]]
+                stuck = stuck[~self.seen[arc[stuck]]]
+            total[:m] += self.weight[arc]
+            state[:m] = self.after[arc]
+        out = np.empty(len(at))
+        out[order] = total
+        return out
+
+    def _alone(self, a: int, b: int, k: int, total: float) -> float:
+        """The same for one text, from place a to b, in the state of k words."""
+        for low in range(a, b, 1 << 16):
+            high = min(b, low + (1 << 16))
+            arcs = self.arcs[:, low:high]
+            seen, weight, after = self.seen[arcs].tolist(), self.weight[arcs].tolist(), self.after[arcs].tolist()
+            back = self.back[self.arcs[:-1, low - 1 : high - 1]].tolist()
+            for i in range(high - low):
+                while not seen[k][i]:
+                    k -= 1
+                    total += back[k][i]
+                total += weight[k][i]
+                k = after[k][i]
+        return total
+
+
+def _given(group: pa.Table, order: int, bits: int) -> tuple[str, list, Block, np.ndarray, pa.Table]:
+    """A group's block, the answers' numbers in the order of the block's n-grams, and the answers."""
+    whole = group.filter(pc.is_valid(group.column("x")))
+    row = whole.slice(0, 1)
+    b = Block(*(row.column(c)[0].as_py() for c in ("sizes", "train", "x", "words")), order, bits)
+    parts = group.filter(pc.is_null(group.column("x"))).sort_by("span")
+    answer = np.concatenate([unpack(x.as_py()) for x in parts.column("data") if x.is_valid]).astype(np.int64)
+    _, place = b.sorted()
+    counts = np.empty(len(answer), np.int64)
+    counts[place] = answer
+    return row.column("block")[0].as_py(), row.column("ids").chunk(0).values, b, counts, parts
+
+
+def _ask_continuations(order: int, ranges: int, bits: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        name, _, b, answer, _ = _given(group, order, bits)
+        counts, teller = answer >> 1, np.split(answer & 1, b.cuts)
+        told = np.concatenate([np.bincount(b.history[k][teller[k] > 0], minlength=len(b.keys[k - 1])) for k in range(1, order)])
+        which = b.asked(counts)
+        keys = np.concatenate(b.keys[:-1])[which]
+        by = _order(keys)
+        return pa.Table.from_batches([_parts(name, keys[by], told[which][by], ranges, bits)])
 
     return run
 
 
-def _read_block(model: Automaton, ranges: int, order: int):
-    def run(key: tuple, texts: pa.Table, given: pa.Table) -> pa.Table:
-        words = given.filter(pc.is_null(given.column("span")))
-        b = _Block(texts, *_columns(words, "word_key", "c", "number"))
-        total = model.unigram(b.counts)[b.x]
-        parts = given.filter(pc.is_valid(given.column("span"))).sort_by("span")
-        spans = parts.column("span").to_numpy()
-        for among, g in b.grams(ranges) if order > 1 else ():
-            i, j = np.searchsorted(spans, [among.start, among.stop]).tolist()
-            for k, name, at, of in ((2, "s2", g.at2, g.of2), (3, "s3", g.at3, g.of3)):
-                if order >= k and len(at):
-                    total[at] = np.concatenate([unpack(x.as_py()) for x in parts.column(name).slice(i, j - i)])[of]
-        n, v = model.tokens, model.vocabulary
-        add = lambda x: np.add.reduceat(x, b.first) if len(b.first) else x
-        return pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array(b.sizes, pa.int64()), "n_known": pa.array(add((b.counts > 0).astype(np.int64)[b.x])), "base_score": pa.array(add(np.log10((b.counts + 1) / (n + v + 1))[b.x])), "score": pa.array(add(total))})
+def _score(order: int, sums: Sums, bits: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        _, ids, b, answer, parts = _given(group, order, bits)
+        counts = answer >> 1
+        continued = (counts > 0).astype(np.int64)  # what was seen once goes on in one way
+        which = b.asked(counts)
+        more = [unpack(x.as_py()) for x in parts.column("more") if x.is_valid]
+        if more:
+            place = which[_order(np.concatenate(b.keys[:-1])[which])]
+            continued[place] = np.concatenate(more).astype(np.int64)
+        words = counts[: b.width].astype(np.float64)
+        model = Automaton(b, counts, continued, sums)
+        scores = model.traverse(b.first, b.sizes) if sums.tokens else np.zeros(len(b.sizes))
+        base = np.log10((words + 1) / (sums.tokens + sums.vocabulary + 1))
+        x = b.y[b.real]
+        starts = np.cumsum(b.sizes) - b.sizes
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(b.sizes), "n_known": pa.array(np.add.reduceat((words > 0).astype(np.int64)[x], starts)), "base_score": pa.array(np.add.reduceat(base[x], starts)), "score": pa.array(scores, pa.float64())})
 
     return run
 
@@ -515,69 +480,30 @@ def _let_go(spark) -> None:
         time.sleep(0.5)
 
 
-def whole(rows: DataFrame, blocks: int, order: int) -> tuple[Automaton, DataFrame]:
-    """The model's sums and the scores by all n-grams, from blocked rows."""
-    if order > 3:
-        raise ValueError("n-grams of at most three words are scored without a cut")
-    table, one, _ = count(rows, math.inf, blocks)
-    s = one.agg(F.sum("c").alias("tokens"), F.count("*").alias("words"), F.count_if(F.col("c") == 1).alias("ones"), F.count_if(F.col("c") == 2).alias("twos")).first()
-    _let_go(rows.sparkSession)
-    model = build([], s.tokens or 0, s.words or 0, s.ones or 0, s.twos or 0, 0, [])
-    ranges = 2 * blocks
-    counts = table.select("block", "word_key", "c", "number")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    both = lambda right, run, schema: apart(rows, blocks).groupBy("block").cogroup(apart(right, blocks).groupBy("block")).applyInArrow(run, schema)
-    given = counts.withColumn("span", F.lit(None).cast("int")).withColumns({c: F.lit(None).cast("binary") for c in ("s2", "s3")})
-    if model.tokens and order > 1:
-        packed = both(counts, _pack_block(ranges), "block int, span int, " + ", ".join(f"{c} binary" for c in PACKED))
-        scored, _ = common.keep(packed.repartition(ranges, "span").groupBy("span").applyInArrow(_score_range(model), "block int, span int, s2 binary, s3 binary"), "grams")
-        _let_go(rows.sparkSession)
-        given = given.unionByName(scored, allowMissingColumns=True)
-    else:
-        order = 1
-    return model, both(given, _read_block(model, ranges, order), f"doc_id {kind}, {SCORED}")
-
-
-def _score_block(model: Automaton):
-    def run(key: tuple, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        keys, c = counts.column("word_key").to_numpy(), counts.column("c").to_numpy()
-        by = np.argsort(keys, kind="stable")
-        keys, c = keys[by], c[by].astype(np.float64)
-        numbers, out = _Numbers(), []
-        uni = base_p = known = small = np.zeros(0)
-        n, v = model.tokens, model.vocabulary
-        for batch in texts.select(["doc_id", "text"]).to_batches(256):
-            got, ends = [], []
-            for t in batch.column(1).to_pylist():
-                got += words_of(t)
-                ends.append(len(got))
-            ids = np.fromiter(map(numbers.__getitem__, got), np.int64, len(got))
-            if len(numbers) > len(uni):
-                new = list(numbers)[len(uni) :]
-                k = np.fromiter(map(key_of, new), np.int64, len(new))
-                at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-                count = np.where(keys[at] == k, c[at], 0.0) if len(keys) else np.zeros(len(k))
-                uni = np.append(uni, model.unigram(count))
-                base_p = np.append(base_p, np.log10((count + 1) / (n + v + 1)))
-                known = np.append(known, count > 0)
-                small = np.append(small, [model.words.get(w, -1) for w in new]).astype(np.int64)
-            first = np.array([0, *ends[:-1]], np.int64)
-            p = model.score(small[ids], uni[ids], first)
-            add = lambda x: np.add.reduceat(x, first)
-            out.append(pa.table({"doc_id": batch.column(0), "n_tokens": pa.array(np.diff([0, *ends]).astype(np.int64)), "n_known": pa.array(add(known[ids].astype(np.int64))), "base_score": pa.array(add(base_p[ids])), "score": pa.array(add(p))}))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": texts.column("doc_id"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-
-    return run
-
-
-def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, frequent: float = 0, kept: float = 0) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score. training: a function from the id column to whether a text is learned from. frequent, kept: shares of all tokens below which words and n-grams are left out; 0 leaves out none."""
-    blocks = block_count(docs, text_col)
-    rows = blocked(docs, id_col, text_col, training, blocks)
-    if not frequent and not kept:
-        model, found = whole(rows, blocks, order)
-        return found.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
-    model, counts, _ = fit(rows, order, frequent, kept, blocks)
+def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score. training: a function from the id column to whether a text is learned from. order: 1 to 4."""
+    if not 1 <= order <= 4:
+        raise ValueError("n-grams of one to four words are counted")
+    spark = docs.sparkSession
+    rows = common.texts(docs, id_col, text_col).withColumn("train", F.coalesce(training(F.col("doc_id")), F.lit(False)))
+    blocks, _ = blocks_of(rows)
+    size = blocks.agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens")).first()
     kind = docs.schema[id_col].dataType.simpleString()
-    found = apart(rows.select("doc_id", "text", "block"), blocks).groupBy("block").cogroup(apart(counts, blocks).groupBy("block")).applyInArrow(_score_block(model), f"doc_id {kind}, {SCORED}")
-    return found.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    if not size.blocks:
+        return spark.createDataFrame([], f"doc_id {kind}, {SCORED}, train_tokens long")
+    most = size.tokens * order * 6 // 10  # n-grams that blocks hold, about
+    ranges, bits = max(1, -(-most // RANGE_KEYS)), bits_for(most)
+    to_ranges, to_blocks = (min(3 * n, MOST_PARTITIONS) for n in (ranges, size.blocks))  # so that they seldom meet in one
+    parts = common.map_batches(blocks, _ask(order, ranges, bits), PARTS)
+    answers, _ = common.keep(parts.repartition(to_ranges, "span").groupBy("span").applyInArrow(_add(bits), ANSWERS), "counts")
+    _let_go(spark)
+    stats = answers.where("block is null").groupBy("tag", "value").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # a few thousand at most: values of more than ten bits are rounded
+    sums = sums_of(stats, order)
+    given = blocks.unionByName(answers.where("block is not null").select("block", "span", "data"), allowMissingColumns=True).withColumn("more", F.lit(None).cast("binary"))
+    if order > 1 and sums.tokens:
+        parts = given.repartition(to_blocks, "block").groupBy("block").applyInArrow(_ask_continuations(order, ranges, bits), PARTS)
+        more, _ = common.keep(parts.repartition(to_ranges, "span").groupBy("span").applyInArrow(_add_continuations, "block string, span int, more binary"), "continuations")
+        _let_go(spark)
+        given = given.unionByName(more, allowMissingColumns=True)
+    found = given.repartition(to_blocks, "block").groupBy("block").applyInArrow(_score(order, sums, bits), f"doc_id {kind}, {SCORED}")
+    return found.withColumn("train_tokens", F.lit(sums.tokens).cast("long"))
