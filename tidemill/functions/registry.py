@@ -7,9 +7,11 @@ marks where a window goes, inside of what is wrapped around an aggregate.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,13 @@ class Function:
     build: Callable[..., str] | None = None  # of the arguments' SQL; None: Spark's own function
     native: str | None = None
 
-    def sql(self, args: list[str], over: str = "", distinct: bool = False) -> str:
+    def sql(self, args: list[str], over: str = "", distinct: bool = False, of_text: bool = False) -> str:
+        """of_text: an argument is text."""
         if len(args) < self.least or self.most is not None and len(args) > self.most:
             raise ValueError(f"{self.name} takes {self.least}{'' if self.most == self.least else f' to {self.most}' if self.most is not None else ' or more'} arguments, not {len(args)}")
+        form = TEXT_FORMS.get(self.name) if of_text and FUNCTIONS.get(self.name) is BUILT_IN.get(self.name) else None
+        if form is not None and not distinct:
+            return form(*args).replace("{over}", over)
         if self.build is None:
             return f"{self.native or self.name.lower()}({'DISTINCT ' * distinct}{', '.join(args)}){over}"
         if distinct:
@@ -37,6 +43,7 @@ class Function:
 
 
 FUNCTIONS: dict[str, Function] = {}
+BUILT_IN: dict[str, Function] = {}
 
 
 def register(name: str, kind: str, least: int, most: int | None, build: Callable[..., str] | None = None, native: str | None = None) -> None:
@@ -84,6 +91,64 @@ def _whole(x: str) -> str:
     return f"coalesce(cast(try_cast({x} as double) as bigint), 0)"
 
 
+def number(x: str) -> str:
+    """Text as a number; NULL where it is none."""
+    return f"try_cast({x} as double)"
+
+
+def ordered(x: str) -> str:
+    """What text is compared by: numbers as numbers, before all other text; NULL for NULL."""
+    return f"if({x} IS NULL, NULL, named_struct('t', {number(x)} IS NULL, 'n', {number(x)}, 's', {x}))"
+
+
+def plain(d: str) -> str:
+    """A number as text, whole ones without a fraction."""
+    return f"CASE WHEN {d} = floor({d}) AND abs({d}) < 1e15 THEN cast(cast({d} as bigint) as string) ELSE cast({d} as string) END"
+
+
+def _tolerant(f: str, *args: str) -> str:
+    """A function of numbers over text: what isn't a number comes back as it is."""
+    return f"coalesce({plain(f'{f}({chr(44).join(map(number, args))})')}, {text(args[0])})"
+
+
+#: Forms over text, of all arguments; typed numbers keep Spark's own functions.
+TEXT_FORMS: dict[str, Callable[..., str]] = {
+    **{n: lambda x, f=f: f"coalesce({f}({number(x)}){{over}}, 0)" for n, f in (("SUM", "sum"), ("AVG", "avg"), ("STDDEV", "stddev_pop"), ("STDDEV_POP", "stddev_pop"), ("VARIANCE", "var_pop"), ("VAR_POP", "var_pop"), ("STDDEV_SAMP", "stddev_samp"), ("VAR_SAMP", "var_samp"))},
+    **{n: lambda x, y, f=f: f"coalesce(nanvl({f}({number(x)}, {number(y)}){{over}}, 0D), 0)" for n, f in (("CORR", "corr"), ("COVAR_POP", "covar_pop"), ("COVAR_SAMP", "covar_samp"))},
+    **{n: lambda x, f=n.lower(): f"{f}({ordered(x)}){{over}}.s" for n in ("MIN", "MAX")},
+    **{n: lambda *a, f=n.lower(): f"{f}({', '.join(ordered(text(x)) for x in a)}).s" for n in ("GREATEST", "LEAST")},
+    **{n: lambda x, f=n.lower(): _tolerant(f, x) for n in ("FLOOR", "CEIL", "CEILING", "ABS", "SQRT", "EXP", "LN", "LOG10", "LOG2")},
+    "SIGN": lambda x: f"coalesce(cast(sign({number(x)}) as string), {text(x)})",
+    "ROUND": lambda x, d="0": f"coalesce({plain(f'round({number(x)}, {d})')}, {text(x)})",
+    **{n: lambda x, y: _tolerant("power", x, y) for n in ("POWER", "POW")},
+    "MOD": lambda x, y: _tolerant("try_mod", x, y),
+}
+#: Functions whose result is text.
+TEXT_RESULTS = frozenset("CONCAT CONCAT_WS SUBSTRING SUBSTR UPPER UCASE LOWER LCASE TRIM LTRIM RTRIM REPLACE REVERSE LPAD RPAD INITCAP SPLIT TO_DATE DATE_FORMAT FROM_UNIXTIME TRUNC REGEXP_REPLACE REGEXP_EXTRACT BASE64 UNBASE64 HEX UNHEX MD5 SHA1 SHA2 ENCODE DECODE GET_JSON_OBJECT JSON_TUPLE MASK MASK_FIRST_N MASK_LAST_N MASK_SHOW_FIRST_N MASK_SHOW_LAST_N COLLECT_LIST COLLECT_SET HISTOGRAM_NUMERIC".split())
+
+
+def groups_of(pattern: str) -> int | None:
+    """How many groups a literal pattern has; -1 if it is none; None if it isn't a literal or there is nothing to ask."""
+    m = re.fullmatch(r"\s*(?:'((?:[^'\\]|\\.|'')*)'|\"((?:[^\"\\]|\\.|\"\")*)\")\s*", pattern, re.S)
+    context = SparkContext._active_spark_context
+    if not m or context is None:
+        return None
+    raw = m.group(1) if m.group(1) is not None else m.group(2)
+    value = re.sub(r"\\(.)", lambda e: {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(e.group(1), e.group(0) if e.group(1) in "%_" else e.group(1)), raw.replace("''", "'"), flags=re.S)
+    try:
+        return context._jvm.java.util.regex.Pattern.compile(value).matcher("").groupCount()
+    except Exception:  # the JVM's PatternSyntaxException
+        return -1
+
+
+def _regexp_extract(s: str, p: str, g: str = "1") -> str:
+    """The empty string where the pattern is bad, or has no such group."""
+    n = groups_of(p)
+    if n is not None and (n < 0 or g.strip().isdigit() and int(g) > n):
+        return "''"
+    return f"coalesce(regexp_extract({s}, {p}, {g}), '')"
+
+
 def _cond(c: str) -> str:
     return f"(CASE typeof({c}) WHEN 'boolean' THEN coalesce(try_cast({c} as boolean), false) ELSE coalesce({text(c)} IN ('true', 'TRUE'), false) OR coalesce(try_cast({text(c)} as double) != 0, false) END)"
 
@@ -219,9 +284,11 @@ register("PERCENTILE", "aggregate", 2, 2, _percentile)
 register("PERCENTILE_APPROX", "aggregate", 2, 3, _percentile)
 register("HISTOGRAM_NUMERIC", "aggregate", 2, 2, histogram)
 
-for _n, _least, _most in (("ROW_NUMBER", 0, 0), ("RANK", 0, 0), ("DENSE_RANK", 0, 0), ("LEAD", 1, 3), ("LAG", 1, 3), ("NTILE", 1, 1), ("FIRST_VALUE", 1, 1), ("LAST_VALUE", 1, 1), ("CUME_DIST", 0, 0), ("PERCENT_RANK", 0, 0), ("NTH_VALUE", 2, 2)):
+for _n, _least, _most in (("ROW_NUMBER", 0, 0), ("RANK", 0, 0), ("DENSE_RANK", 0, 0), ("LEAD", 1, 3), ("LAG", 1, 3), ("FIRST_VALUE", 1, 1), ("LAST_VALUE", 1, 1), ("CUME_DIST", 0, 0), ("PERCENT_RANK", 0, 0), ("NTH_VALUE", 2, 2)):
     register(_n, "window", _least, _most)
 
+register("NTILE", "window", 1, 1, lambda n: f"ntile({n}){{over}}" if not re.fullmatch(r"-\s*\d+|0+", n.strip()) else "(row_number(){over} * 0 + 1)")
+
 register("CONCAT", "scalar", 1, None, lambda *a: f"concat({', '.join(map(filled, a))})")
 register("CONCAT_WS", "scalar", 2, None, lambda s, *a: f"concat_ws({s}, {', '.join(map(filled, a))})")
 for _n in ("SUBSTRING", "SUBSTR"):
@@ -236,7 +303,7 @@ register("LPAD", "scalar", 3, 3)
 register("RPAD", "scalar", 3, 3)
 register("INITCAP", "scalar", 1, 1, lambda x: f"array_join(transform(split({text(x)}, '(?<=[ \\t\\n_-])'), w -> concat(upper(left(w, 1)), lower(substr(w, 2)))), '')")
 register("ASCII", "scalar", 1, 1)
-register("SPLIT", "scalar", 2, 2, lambda s, d: f"concat('[', array_join(split({text(s)}, concat('\\\\Q', {d}, '\\\\E')), ','), ']')")
+register("SPLIT", "scalar", 2, 2, lambda s, d: f"concat('[', array_join(split({text(s)}, concat('\\\\Q', replace({d}, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')), ','), ']')")
 
 register("ROUND", "scalar", 1, 2, _round)
 for _n in ("FLOOR", "CEIL", "CEILING", "ABS", "SQRT", "EXP", "LN", "LOG10", "LOG2", "SIGN"):
@@ -275,13 +342,13 @@ register("NVL", "scalar", 2, 2, lambda x, y: f"coalesce({_nonempty(x)}, {y})")
 register("NULLIF", "scalar", 2, 2)
 register("CAST", "scalar", 2, 2, cast)
 
-register("REGEXP_REPLACE", "scalar", 3, 3)
-register("REGEXP_EXTRACT", "scalar", 2, 3, lambda s, p, g="1": f"coalesce(regexp_extract({s}, {p}, {g}), '')")
-register("REGEXP_LIKE", "scalar", 2, 2)
+register("REGEXP_REPLACE", "scalar", 3, 3, lambda s, p, r: text(s) if groups_of(p) == -1 else f"regexp_replace({s}, {p}, {r})")
+register("REGEXP_EXTRACT", "scalar", 2, 3, _regexp_extract)
+register("REGEXP_LIKE", "scalar", 2, 2, lambda s, p: "false" if groups_of(p) == -1 else f"regexp_like({s}, {p})")
 register("BASE64", "scalar", 1, 1, lambda x: f"base64(encode({text(x)}, 'UTF-8'))")
 register("UNBASE64", "scalar", 1, 1, lambda x: f"coalesce(cast(try_to_binary({text(x)}, 'base64') as string), {text(x)})")
 register("HEX", "scalar", 1, 1, lambda x: f"lower(hex(encode({text(x)}, 'UTF-8')))")
-register("UNHEX", "scalar", 1, 1, lambda x: f"coalesce(cast(unhex({text(x)}) as string), {text(x)})")
+register("UNHEX", "scalar", 1, 1, lambda x: f"if(length({text(x)}) % 2 = 0, coalesce(cast(unhex({text(x)}) as string), {text(x)}), {text(x)})")
 register("MD5", "scalar", 1, 1, lambda x: f"md5(encode({text(x)}, 'UTF-8'))")
 register("SHA1", "scalar", 1, 1, lambda x: f"sha1(encode({text(x)}, 'UTF-8'))")
 register("SHA2", "scalar", 2, 2, lambda x, n: f"CASE coalesce(try_cast({n} as int), 256) WHEN 224 THEN sha2(encode({text(x)}, 'UTF-8'), 224) WHEN 384 THEN sha2(encode({text(x)}, 'UTF-8'), 384) WHEN 512 THEN sha2(encode({text(x)}, 'UTF-8'), 512) ELSE sha2(encode({text(x)}, 'UTF-8'), 256) END")
@@ -304,3 +371,7 @@ register("MASK_SHOW_LAST_N", "scalar", 2, 2, lambda x, n: f"concat(mask({_head_o
 def _nonempty(x: str) -> str:
     """NULL for the empty string; other types pass as they are, decided at planning time."""
     return f"(CASE WHEN typeof({x}) = 'string' AND {text(x)} = '' THEN NULL ELSE {x} END)"
+
+
+# a function that is registered anew has no form of its own over text
+BUILT_IN.update(FUNCTIONS)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import re
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .engine import Engine
+from .functions import FUNCTIONS, list_functions, register
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +148,112 @@ _add("fn_json", "SELECT event_id, GET_JSON_OBJECT(props, '$.k') AS a, JSON_TUPLE
 _add("fn_mask", "SELECT c_custkey, MASK(c_name) AS a, MASK(c_name, 'U', 'l', 'd') AS b, MASK_FIRST_N(c_name, 3) AS c, MASK_LAST_N(c_name, 3) AS d, MASK_SHOW_FIRST_N(c_name, 3) AS e, MASK_SHOW_LAST_N(c_name, 3) AS f FROM customer", "WITH m AS (SELECT c_custkey, c_name AS s, regexp_replace(regexp_replace(regexp_replace(c_name, '[a-z]', 'x', 'g'), '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g') AS m FROM customer) SELECT c_custkey, m AS a, regexp_replace(regexp_replace(regexp_replace(s, '[0-9]', 'd', 'g'), '[a-ce-z]', 'l', 'g'), '[A-Z]', 'U', 'g') AS b, substr(m, 1, 3) || substr(s, 4) AS c, substr(s, 1, length(s) - 3) || substr(m, length(s) - 2) AS d, substr(s, 1, 3) || substr(m, 4) AS e, substr(m, 1, length(s) - 3) || substr(s, length(s) - 2) AS f FROM m")
 _add("fn_nested", "SELECT c_custkey, UPPER(CONCAT(SUBSTR(c_name, 1, 1), '. ', c_mktsegment)) AS a, REPLACE(UPPER(c_name), 'A', 'X') AS b, ROUND(ABS(c_acctbal * 1.5), 0) AS c, LENGTH(UPPER(c_name)) AS d FROM customer", "SELECT c_custkey, upper(substr(c_name, 1, 1) || '. ' || c_mktsegment) AS a, replace(upper(c_name), 'A', 'X') AS b, round(abs(c_acctbal * 1.5), 0) AS c, CAST(length(c_name) AS INT) AS d FROM customer")
 _add("fn_session", "SELECT CURRENT_DATABASE() AS db, VERSION() AS v, CURRENT_DATE() = CURRENT_DATE() AS same, UNIX_TIMESTAMP() > 1700000000 AS late", None)
+# -- numbers in text --
+_TEXT = "SELECT l_orderkey, l_returnflag, CASE WHEN l_linenumber = 3 THEN 'n/a' WHEN l_linenumber = 4 THEN l_returnflag ELSE CAST(l_partkey AS {0}) END AS v, CASE WHEN l_linenumber = 2 THEN 'x' ELSE CAST(l_suppkey AS {0}) END AS w FROM lineitem"
+_HERE, _THERE = f"({_TEXT.format('STRING')}) AS t", f"({_TEXT.format('VARCHAR')}) AS t"
+_D = lambda c: f"TRY_CAST({c} AS DOUBLE)"
+_add("agg_text", f"SELECT l_returnflag, SUM(v) AS s, ROUND(AVG(v), 6) AS a, ROUND(STDDEV(v), 5) AS sd, ROUND(STDDEV_POP(v), 5) AS sp, ROUND(STDDEV_SAMP(v), 5) AS ss, ROUND(VARIANCE(v), 3) AS vp, ROUND(VAR_POP(v), 3) AS vq, ROUND(VAR_SAMP(v), 3) AS vs FROM {_HERE} GROUP BY l_returnflag", f"SELECT l_returnflag, sum({_D('v')}) AS s, round(avg({_D('v')}), 6) AS a, round(stddev_pop({_D('v')}), 5) AS sd, round(stddev_pop({_D('v')}), 5) AS sp, round(stddev_samp({_D('v')}), 5) AS ss, round(var_pop({_D('v')}), 3) AS vp, round(var_pop({_D('v')}), 3) AS vq, round(var_samp({_D('v')}), 3) AS vs FROM {_THERE} GROUP BY l_returnflag")
+_add("agg_text_pairs", f"SELECT ROUND(CORR(v, w), 6) AS c, ROUND(COVAR_POP(v, w), 3) AS p, ROUND(COVAR_SAMP(v, w), 3) AS s FROM {_HERE}", f"SELECT round(corr({_D('v')}, {_D('w')}), 6) AS c, round(covar_pop({_D('v')}, {_D('w')}), 3) AS p, round(covar_samp({_D('v')}, {_D('w')}), 3) AS s FROM {_THERE}")
+_add("minmax_text", f"SELECT l_returnflag, MIN(v) AS lo, MAX(v) AS hi, MIN(w) AS wl, MAX(w) AS wh FROM {_HERE} GROUP BY l_returnflag", "SELECT l_returnflag, " + ", ".join(f"(list_sort(list(struct_pack(t := {_D(c)} IS NULL, n := coalesce({_D(c)}, 0), s := {c}))))[{k}].s AS {n}" for c, k, n in (("v", 1, "lo"), ("v", -1, "hi"), ("w", 1, "wl"), ("w", -1, "wh"))) + f" FROM {_THERE} GROUP BY l_returnflag")
+_add("order_text", f"SELECT DISTINCT v FROM {_HERE} ORDER BY v LIMIT 40", f"SELECT v FROM (SELECT DISTINCT v FROM {_THERE}) ORDER BY {_D('v')} IS NULL, {_D('v')}, v LIMIT 40")
+_add("order_text_desc", f"SELECT DISTINCT w FROM {_HERE} ORDER BY w DESC LIMIT 7", f"SELECT w FROM (SELECT DISTINCT w FROM {_THERE}) ORDER BY {_D('w')} IS NULL DESC, {_D('w')} DESC, w DESC LIMIT 7")
+_add("cmp_text", f"SELECT COUNT(*) AS n, SUM(CASE WHEN v <= '9' THEN 1 ELSE 0 END) AS le, SUM(CASE WHEN v BETWEEN 5 AND 50 THEN 1 ELSE 0 END) AS bt, SUM(CASE WHEN v < w THEN 1 ELSE 0 END) AS lt, SUM(CASE WHEN v = 7 THEN 1 ELSE 0 END) AS eq FROM {_HERE} WHERE v > 3", f"SELECT COUNT(*) AS n, sum(CASE WHEN coalesce({_D('v')} <= 9, v <= '9') THEN 1 ELSE 0 END) AS le, sum(CASE WHEN coalesce({_D('v')} >= 5, v >= '5') AND coalesce({_D('v')} <= 50, v <= '50') THEN 1 ELSE 0 END) AS bt, sum(CASE WHEN coalesce({_D('v')} < {_D('w')}, v < w) THEN 1 ELSE 0 END) AS lt, sum(CASE WHEN v = '7' THEN 1 ELSE 0 END) AS eq FROM {_THERE} WHERE coalesce({_D('v')} > 3, v > '3')")
+_add("win_order_text", f"SELECT w, RANK() OVER (ORDER BY w) AS r FROM (SELECT DISTINCT w FROM {_HERE}) AS u", f"SELECT w, RANK() OVER (ORDER BY {_D('w')} IS NULL, {_D('w')}, w) AS r FROM (SELECT DISTINCT w FROM {_THERE}) AS u")
+_SIGNED = "SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN c_mktsegment ELSE CAST(c_nationkey - 12 AS {}) END AS v FROM customer"
+_INT = lambda e, c="v": f"CASE WHEN {_D(c)} IS NULL THEN {c} ELSE CAST(CAST({e} AS BIGINT) AS VARCHAR) END"
+_add("fn_math_text", f"SELECT c_custkey, ABS(v) AS a, FLOOR(v) AS b, CEIL(v) AS c, CEILING(v) AS d, SIGN(v) AS e, ROUND(v) AS f, POWER(v, 2) AS g, POW(v, 1) AS h, MOD(v, 5) AS i, MOD(v, '0') AS j, SQRT(POWER(v, 2)) AS k FROM ({_SIGNED.format('STRING')}) AS t", "SELECT c_custkey, " + ", ".join(f"{_INT(e.format(_D('v')))} AS {n}" for e, n in (("abs({})", "a"), ("{}", "b"), ("{}", "c"), ("{}", "d"))) + f", CASE WHEN {_D('v')} IS NULL THEN v WHEN {_D('v')} > 0 THEN '1.0' WHEN {_D('v')} < 0 THEN '-1.0' ELSE '0.0' END AS e, " + ", ".join(f"{_INT(e.format(_D('v')))} AS {n}" for e, n in (("{}", "f"), ("power({}, 2)", "g"), ("{}", "h"), ("{} % 5", "i"), ("{}", "j"), ("abs({})", "k"))) + f" FROM ({_SIGNED.format('VARCHAR')}) AS t")
+_add("fn_log_text", "SELECT id, LN(v) AS a, LOG10(v) AS b, LOG2(v) AS c, ROUND(EXP(v), 6) AS d, SQRT(v) AS e FROM (VALUES (1, '1'), (2, 'one'), (3, '4')) AS t(id, v) WHERE id < 3", "SELECT id, a, b, c, d, e FROM (VALUES (1, '0', '0', '0', '2.718282', '1'), (2, 'one', 'one', 'one', 'one', 'one')) AS t(id, a, b, c, d, e)")
+_add("fn_greatest_text", f"SELECT c_custkey, GREATEST(v, '3') AS a, LEAST(v, '3', '10') AS b, GREATEST('10', '9') AS c FROM ({_SIGNED.format('STRING')}) AS t", f"SELECT c_custkey, CASE WHEN {_D('v')} IS NULL OR {_D('v')} > 3 THEN v ELSE '3' END AS a, CASE WHEN {_D('v')} < 3 THEN v ELSE '3' END AS b, '10' AS c FROM ({_SIGNED.format('VARCHAR')}) AS t")
+_add("fn_regex_bad", "SELECT c_custkey, REGEXP_REPLACE(c_name, '(', 'N') AS a, REGEXP_EXTRACT(c_name, 'C[a-z]+') AS b, REGEXP_EXTRACT(c_name, '(C)', 5) AS c, REGEXP_EXTRACT(c_name, '[') AS d, REGEXP_LIKE(c_name, '*') AS e, SPLIT('p\\\\Eq', '\\\\E') AS f, UNHEX('616') AS g FROM customer", "SELECT c_custkey, c_name AS a, '' AS b, '' AS c, '' AS d, false AS e, '[p,q]' AS f, '616' AS g FROM customer")
+_add("win_ntile_none", "SELECT n_nationkey, NTILE(0) OVER (ORDER BY n_nationkey) AS a, NTILE(-2) OVER (PARTITION BY n_regionkey ORDER BY n_name) AS b FROM nation", "SELECT n_nationkey, 1 AS a, 1 AS b FROM nation")
+_add("fn_string_more", "SELECT c_custkey, UCASE(c_name) AS a, LTRIM('  x ') AS b, RTRIM('  x ') AS c, CEILING(c_acctbal) AS d, POW(c_nationkey, 2) AS e, DAYOFMONTH('2024-03-09') AS f FROM customer", "SELECT c_custkey, upper(c_name) AS a, 'x ' AS b, '  x' AS c, CAST(ceil(c_acctbal) AS BIGINT) AS d, power(c_nationkey, 2) AS e, 9 AS f FROM customer")
+_add("fn_today", "SELECT CURRENT_DATE() = TO_DATE(CURRENT_TIMESTAMP()) AS a, YEAR(CURRENT_DATE()) >= 2024 AS b, LENGTH(CURRENT_USER()) > 0 AS c, LENGTH(CURRENT_DATABASE()) > 0 AS d, VERSION() LIKE 'tidemill%' AS e", "SELECT true AS a, true AS b, true AS c, true AS d, true AS e")
+_add("fn_crc32", "SELECT n_nationkey, CRC32(n_name) AS c FROM nation", "SELECT n_nationkey, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(n_name, ''), lambda s: CAST(unicode(s) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), [CAST(k AS BIGINT) FOR k IN generate_series(1, 8)]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS BIGINT) AS c FROM nation")
+_add("explode_chain", "SELECT p_partkey, v, w FROM (SELECT p_partkey, p_brand || ',' || p_type AS m, 'a,b' AS n FROM part) AS t LATERAL VIEW EXPLODE(m) x AS v LATERAL VIEW EXPLODE(n) y AS w", "SELECT p_partkey, v, w FROM (SELECT p_partkey, unnest([p_brand, p_type]) AS v FROM part), (VALUES ('a'), ('b')) AS y(w)")
+_add("join_same_names", "SELECT * FROM nation a LEFT JOIN nation b ON a.n_nationkey = b.n_regionkey", "SELECT a.*, coalesce(b.n_nationkey, 0) AS \"b.n_nationkey\", coalesce(b.n_name, '') AS \"b.n_name\", coalesce(b.n_regionkey, 0) AS \"b.n_regionkey\" FROM nation a LEFT JOIN nation b ON a.n_nationkey = b.n_regionkey")
+
+
+# -- statements, sources and sinks: scripts over tables that they write --
+def _scratch(spark: SparkSession) -> str:
+    """A folder of its own: in spark.checkpoint.dir, or on one machine a temporary one that goes at exit."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.removeprefix('file://')}/io-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="io-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def _script(key: str, script: str | Callable[[Engine, str], DataFrame], oracle: str, tables: str = "nation") -> None:
+    """A script with {dir} for its folder, or a function of the engine and the folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine(spark)
+        e.register_parquet(sf_dir, *tables.split())
+        folder = _scratch(spark)
+        return e.execute(script.replace("{dir}", folder)) if isinstance(script, str) else script(e, folder)
+
+    run.__name__ = key
+    QUERIES[key], ORACLE_SQL[key] = run, oracle
+
+
+_NATION = "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation"
+_KEPT = "INSERT OVERWRITE TABLE t SELECT n_nationkey, n_name, n_regionkey FROM nation; SELECT * FROM t"
+_script("io_csv", f"CREATE TABLE t (id INT, name STRING, region INT) WITH (path='{{dir}}/t', format='csv'); {_KEPT}", _NATION)
+_script("io_csv_options", f"CREATE EXTERNAL TABLE t (id INT, name STRING, region INT) WITH (path='{{dir}}/t', format='csv', file_name='t.txt', delimiter='|', include_header='true', skip_lines='1'); {_KEPT}", _NATION)
+_script("io_json", f"CREATE TABLE t (id INT, name STRING, region INT) WITH (path='{{dir}}/t', format='json'); {_KEPT}", _NATION)
+_script("io_xlsx", f"CREATE TABLE t (id INT, name STRING, region INT) WITH (path='{{dir}}/t', format='xlsx', file_name='t.xlsx', include_header='true', sheet='Nations'); {_KEPT}", _NATION)
+_script("io_file_pattern", "CREATE TABLE a (id INT) WITH (path='{dir}/t', file_name='a1.csv'); CREATE TABLE b (id INT) WITH (path='{dir}/t', file_name='b1.csv'); CREATE TABLE t (id INT) WITH (path='{dir}/t', file_pattern='a*.csv'); INSERT OVERWRITE a SELECT n_nationkey FROM nation WHERE n_regionkey < 2; INSERT OVERWRITE b SELECT n_nationkey FROM nation; SELECT * FROM t", "SELECT n_nationkey AS id FROM nation WHERE n_regionkey < 2")
+_script("io_append", "CREATE TABLE t (id INT, name STRING) WITH (path='{dir}/t', file_name='t.csv'); INSERT INTO t SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 0; INSERT INTO TABLE t SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1; INSERT INTO t SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1; SELECT * FROM t", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+_script("io_overwrite", "CREATE TABLE t (id INT, name STRING) WITH (path='{dir}/t', file_name='t.csv'); INSERT INTO t SELECT n_nationkey, n_name FROM nation; INSERT OVERWRITE TABLE t SELECT id + 100, name FROM t WHERE id > 3; SELECT * FROM t", "SELECT n_nationkey + 100 AS id, n_name AS name FROM nation WHERE n_nationkey > 3")
+_script("io_values", "CREATE TABLE t (id INT, name STRING, code INT DEFAULT 7) WITH (path='{dir}/t', file_name='t.csv'); INSERT OVERWRITE t VALUES (1, 'a', 2), (2, 'it''s; b', 3); INSERT INTO t VALUES (3, 'c'); SELECT * FROM t", "SELECT * FROM (VALUES (1, 'a', 2), (2, 'it''s; b', 3), (3, 'c', 7)) AS t(id, name, code)")
+_script("io_defaults", "CREATE TABLE t (id INT, name STRING DEFAULT 'none', code INT DEFAULT 9) WITH (path='{dir}/t', file_name='t.csv'); INSERT OVERWRITE t SELECT n_nationkey FROM nation; SELECT * FROM t", "SELECT n_nationkey AS id, 'none' AS name, 9 AS code FROM nation")
+_script("io_positions", "CREATE TABLE t (a STRING, b INT) WITH (path='{dir}/t', file_name='t.csv'); CREATE TABLE u (n_name STRING, n_nationkey INT) WITH (path='{dir}/u', file_name='u.csv'); INSERT OVERWRITE t SELECT n_name, n_nationkey AS zzz FROM nation; INSERT OVERWRITE u SELECT * FROM nation; SELECT a, b, u.n_name AS c FROM t JOIN u ON t.b = u.n_nationkey", "SELECT n_name AS a, n_nationkey AS b, n_name AS c FROM nation")
+_script("io_partitions", "CREATE TABLE t (id INT, name STRING) WITH (path='{dir}/t', file_name='t.csv') PARTITIONED BY (seg); INSERT OVERWRITE t SELECT c_custkey, c_name, c_mktsegment FROM customer; INSERT OVERWRITE t SELECT 0, 'only', 'BUILDING'; SELECT seg, COUNT(*) AS n, MIN(id) AS lo FROM t WHERE seg >= 'BUILDING' GROUP BY seg", "SELECT seg, count(*) AS n, min(id) AS lo FROM (SELECT c_custkey AS id, c_mktsegment AS seg FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 0, 'BUILDING') WHERE seg >= 'BUILDING' GROUP BY seg", "customer")
+_script("io_partition_values", "CREATE TABLE t (id INT) WITH (path='{dir}/t', file_name='t.csv', partition_format='value') PARTITIONED BY (y, m); INSERT OVERWRITE t SELECT o_orderkey, YEAR(o_orderdate), MONTH(o_orderdate) FROM orders WHERE o_orderkey < 2000; SELECT y, m, COUNT(*) AS n FROM t WHERE y = 1996 AND m >= '5' GROUP BY y, m", "SELECT CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(month(o_orderdate) AS VARCHAR) AS m, count(*) AS n FROM orders WHERE o_orderkey < 2000 AND year(o_orderdate) = 1996 AND month(o_orderdate) >= 5 GROUP BY 1, 2", "orders")
+_script("io_sqlite", f"CREATE TABLE t (id INT, name STRING, region INT) WITH (storage='sqlite', location='{{dir}}.db', table_name='u'); {_KEPT}", _NATION)
+_script("io_sqlite_query", "CREATE TABLE t (id INT, name STRING, region INT) WITH (storage='sqlite', location='{dir}.db', table_name='u'); INSERT OVERWRITE t SELECT n_nationkey, n_name, n_regionkey FROM nation; INSERT INTO t VALUES (99, 'last', 0); CREATE TABLE q (id INT) WITH (storage='sqlite', location='{dir}.db', query='SELECT id FROM u WHERE id > 20'); SELECT * FROM q", "SELECT n_nationkey AS id FROM nation WHERE n_nationkey > 20 UNION ALL SELECT 99")
+_script("io_git_lfs", lambda e, d: (os.makedirs(f"{d}/.git/lfs/objects", exist_ok=True), e.execute(f"CREATE TABLE t (id INT, name STRING) WITH (storage='gitlfs', path='{d}/w', file_name='t.csv'); INSERT OVERWRITE t SELECT n_nationkey, n_name FROM nation; SELECT * FROM t"))[1], "SELECT n_nationkey AS id, n_name AS name FROM nation")
+_script("io_template", lambda e, d: e.execute_template("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN ({{ ids|join:\",\" }}){% if more %} OR n_regionkey = {{ more }}{% endif %}", {"ids": [1, 2, 3], "more": 4}), "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (1, 2, 3) OR n_regionkey = 4")
+_script("io_explain", lambda e, d: e.execute("EXPLAIN SELECT n_name FROM nation WHERE n_nationkey > 3").selectExpr("plan LIKE '%Physical Plan%' AS physical", "plan LIKE '%Analyzed%' AS analysed"), "SELECT true AS physical, true AS analysed")
+_script("io_script", "SELECT 1 AS x; SELECT ';' AS y -- a; b\n; /* ; */ SELECT n_name, ';' AS z FROM nation", "SELECT n_name, ';' AS z FROM nation")
+
+
+def _refused(*statements: str) -> Callable[[Engine, str], DataFrame]:
+    """One row a statement: whether it is refused."""
+
+    def run(e: Engine, folder: str) -> DataFrame:
+        out = []
+        e.execute(f"CREATE TABLE t (id INT, name STRING) WITH (path='{folder}/t', file_name='t.csv')")
+        for k, s in enumerate(statements):
+            try:
+                e.execute(s)
+                out.append((k, False))
+            except (ValueError, AnalysisException):
+                out.append((k, True))
+        return e.spark.createDataFrame(out, "k int, refused boolean")
+
+    return run
+
+
+_script("refused_inserts", _refused("INSERT INTO t VALUES (1, 'a', 2)", "INSERT INTO t VALUES (1)", "INSERT INTO nowhere VALUES (1)", "CREATE TABLE t (id INT) WITH (path='x')", "DROP TABLE t"), "SELECT CAST(k AS INT) AS k, true AS refused FROM generate_series(0, 4) AS g(k)")
+_script("refused_selects", _refused("SELECT n_name, COUNT(*) AS n FROM nation GROUP BY n_regionkey", "SELECT SUM(n_nationkey) OVER w AS s FROM nation", "SELECT SUM(n_nationkey) OVER w AS s FROM nation WINDOW w AS (PARTITION BY n_regionkey), w AS (ORDER BY n_name)", "SELECT POWER(1) AS x", "SELECT (1"), "SELECT CAST(k AS INT) AS k, true AS refused FROM generate_series(0, 4) AS g(k)")
+
+
+def _added(e: Engine, folder: str) -> DataFrame:
+    """A scalar, an aggregate and a window function of one's own."""
+    own = (("HALF_OF", "scalar", lambda x: f"({x} / 2)"), ("SPREAD", "aggregate", lambda x: f"(max({x}){{over}} - min({x}){{over}})"), ("BEFORE_IT", "window", lambda x: f"coalesce(lag({x}){{over}}, -1)"))
+    for name, kind, build in own:
+        register(name, kind, 1, 1, build)
+    listed = set(list_functions())
+    try:
+        got = e.execute("SELECT n_regionkey, HALF_OF(n_regionkey) AS h, SPREAD(n_nationkey) AS s, BEFORE_IT(n_regionkey) OVER (ORDER BY n_regionkey) AS b FROM nation GROUP BY n_regionkey")
+    finally:
+        for name, _, _ in own:
+            FUNCTIONS.pop(name)
+    return got.selectExpr("*", f"{str({n for n, _, _ in own} <= listed).lower()} AS listed")
+
+
+_script("fn_added", _added, "SELECT n_regionkey, n_regionkey / 2 AS h, max(n_nationkey) - min(n_nationkey) AS s, coalesce(lag(n_regionkey) OVER (ORDER BY n_regionkey), -1) AS b, true AS listed FROM nation GROUP BY n_regionkey")
