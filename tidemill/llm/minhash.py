@@ -1,34 +1,42 @@
 """MinHash near-duplicate detection by a signature-coordinate inverted join.
 
 A document's set holds its distinct shingles of `size` words (the whole sequence
-where there are fewer words). Documents with equal sets are one class. Each class
-has a signature of COORDINATES min-hashes, and is posted under (coordinate, value)
-pairs. Two sets as similar as the threshold agree in at least MATCHES coordinates
-but for a chance below 1e-7 a pair, so that they share one of the first
-COORDINATES - MATCHES + 1 postings in any order that is the same for all: rare
-values come first (the prefix), frequent ones are skipped by all classes that have
-enough others. Within a posting list, agreements are counted over all coordinates
-from 4 bits of each (which misses none), and pairs of MATCHES or more are candidates.
-Every link that is used is confirmed on the full sets.
+where there are fewer words). Documents with equal sets are one class, a node of the
+graph of links, named by 64 bits of the set's hash. Each class has a signature of
+COORDINATES min-hashes, and is posted under (coordinate, value) pairs. Two sets as
+similar as the threshold agree in at least MATCHES coordinates but for a chance below
+1e-7 a pair, so that they share one of the first COORDINATES - MATCHES + 1 postings in
+any order that is the same for all: rare values come first (the prefix), frequent ones
+are skipped by all classes that have enough others. Within a posting list, agreements
+are counted over all coordinates from 4 bits of each (which misses none), and pairs of
+MATCHES or more are candidates. Every link that is used is confirmed on the full sets.
 
 A list of m near copies isn't turned into its m * m / 2 pairs: first every class is
-held against the first fitting member of its lists (a star); components of the
-confirmed links then leave only lists that hold several of them, from which one pair
-for each two components is tried, and last all pairs across components that are
-still untried. So each candidate pair is either confirmed, refuted, or within one
-component already. Lists of more than LIST members are worked in parts, and later in
-pairs of parts; stars of more than LIST members have their centre repeated for each
-part; nothing unbounded is in one task.
+held against the first fitting member of its lists (a star), and components of the
+confirmed links are formed. What then still shares a list with another component is
+joined once more, this time on the sets themselves: by the rarest of their shingles,
+so many that two sets of the wanted similarity must share one, by sizes, by how many
+shingles can still agree after the shared one, and by MATCHES of the signatures,
+which are counted for these pairs only. Documents that share a template,
+but differ in more than a fifth of their shingles, share none of these, and are no
+pair at all. Of the pairs that are left one for each two components is confirmed
+first, then all that still lie across components. So each candidate pair is either
+confirmed, refuted, or within one component already. Lists of more than LIST members
+are worked in parts; stars of more than LIST members have their centre repeated for
+each part; nothing unbounded is in one task.
 
 Defined results: null and empty texts, and rows without an id, are linked with
-nothing (component_id is the own id, or null); rows that share an id are one node,
-of which near_duplicates keeps every row and deduplicate one; columns other than id
-and text aren't read.
+nothing (component_id is the own id, or null). Ids may be of any type that has an
+order. Rows that share an id are linked by their texts only; near_duplicates keeps
+every row, deduplicate one row of each group, that of the smallest id, and all rows
+without an id or words. Columns other than id and text aren't read, whatever they
+are called.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-COORDINATES, MISS, LIST, CENTRES, HOT_SHARE, HOT_LEAST, CACHE, SMALL_IDS = 64, 1e-7, 1 << 15, 32, 1e-4, 64, 300_000, 500_000
+COORDINATES, MISS, LIST, CENTRES, HOT_SHARE, HOT_LEAST, CACHE, SMALL_IDS, HOT_SHINGLES = 64, 1e-7, 1 << 15, 32, 1e-4, 64, 300_000, 500_000, 500_000
 _rng = np.random.default_rng(20_240_101)
 _A = _rng.integers(1 << 62, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -115,9 +123,9 @@ def _codes(packed: np.ndarray) -> np.ndarray:
 
 def _describe(size: int):
     def make():
-        def one(i, text):
+        def one(i, h, text):
             s = shingle_set(text, size)
-            return i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signature(s).tobytes() if len(s) else None
+            return i, h, len(s), xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None, signature(s).tobytes() if len(s) else None
 
         return one
 
@@ -240,6 +248,9 @@ def _stars(need: int):
         # the members that a centre took may pair with the ones that it didn't
         rest = np.flatnonzero(~paired)
         taken = np.flatnonzero(paired)
+        if len(rest) * len(taken) > 1 << 22:  # not worth finding out
+            paired[rest] = len(taken) > 0
+            return pairs, paired
         for a in range(0, len(rest), 256):
             r = rest[a : a + 256]
             for b in range(0, len(taken), 4096):
@@ -252,8 +263,7 @@ def _stars(need: int):
         size = 0
 
         def flush():
-            c = [np.concatenate(x) for x in zip(*(o[:5] for o in out))]
-            return pa.RecordBatch.from_arrays([*(pa.array(x) for x in c), pa.array([b for o in out for b in o[5]], pa.binary())], names=["kind", "code", "u", "w", "n", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["kind", "code", "u", "w", "n"])
 
         for whole, code, part, rep, bits in _runs(batches, LIST):
             pairs, paired = one(rep, bits, whole and part[0] < 0)
@@ -261,11 +271,11 @@ def _stars(need: int):
                 differ = u != w
                 k = int(differ.sum())
                 if k:
-                    out.append((np.zeros(k, np.int32), np.full(k, code[0]), np.minimum(u, w)[differ], np.maximum(u, w)[differ], n[differ].astype(np.int64), [None] * k))
+                    out.append((np.zeros(k, np.int32), np.full(k, code[0]), np.minimum(u, w)[differ], np.maximum(u, w)[differ], n[differ].astype(np.int64)))
                     size += k
             if paired.any():
                 k = int(paired.sum())
-                out.append((np.ones(k, np.int32), np.full(k, code[0]), rep[paired], rep[paired], np.zeros(k, np.int64), [b.tobytes() for b in bits[paired]]))
+                out.append((np.ones(k, np.int32), np.full(k, code[0]), rep[paired], rep[paired], np.zeros(k, np.int64)))
                 size += k
             if size > 20_000:
                 yield flush()
@@ -276,27 +286,60 @@ def _stars(need: int):
     return run
 
 
-def _across(need: int, every: bool):
-    """Per list: candidate pairs of different components; the best for each two components, or all."""
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([shingle_set(t, size).tobytes() for t in batch.column(2).to_pylist()], pa.binary())], names=["rep", "root", "shingles"])
+
+    return run
+
+
+def _agreeing(need: int):
+    """Pairs whose signatures agree in enough coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (_binary(batch.column(c), 4 * COORDINATES).view(np.uint32) for c in ("sig_u", "sig_w"))
+                yield batch.select(["u", "w", "ru", "rw", "bound"]).filter(pa.array((a == b).sum(axis=1) >= need))
+
+    return run
+
+
+def _common_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of two and more sets of a part, and how many."""
+    held, n = [], 0
+
+    def flush():
+        codes, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_pydict({"code": pa.array(codes[counts > 1].view(np.int64)), "n": pa.array(counts[counts > 1])})
+
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            held.append(np.frombuffer(x, np.uint64))
+            n += len(held[-1])
+        if n > 4_000_000:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
+
+
+def _prefixes(codes: np.ndarray, counts: np.ndarray, percent: int):
+    """Each set under its rarest shingles, so many that two similar sets share one: code, rep, root, size, and the place in the set's order. codes and counts: the frequent shingles, sorted; all others are rarer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, rep, root, bits in _runs(batches, None):
-            codes = _codes(bits)
-            # the largest component is only held against the others
-            values, inverse, sizes = np.unique(root, return_inverse=True, return_counts=True)
-            outside = np.flatnonzero(inverse != sizes.argmax())
-            for a in outside:
-                other = np.flatnonzero((inverse != inverse[a]) & ((inverse == sizes.argmax()) | (np.arange(len(rep)) > a)))
-                n = (codes[other] == codes[a]).sum(axis=1)
-                hit = n >= need
-                if not hit.any():
-                    continue
-                other, n = other[hit], n[hit]
-                if not every:
-                    order = np.lexsort([rep[other], -n, root[other]])
-                    firsts = np.concatenate([[True], root[other][order][1:] != root[other][order][:-1]])
-                    other = other[order[firsts]]
-                yield pa.RecordBatch.from_pydict({"u": pa.array(np.minimum(rep[a], rep[other])), "w": pa.array(np.maximum(rep[a], rep[other]))})
+        for batch in batches:
+            out = []
+            for rep, root, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                x = np.frombuffer(raw, np.uint64)
+                at = np.minimum(np.searchsorted(codes, x), max(0, len(codes) - 1))
+                seen = np.where(codes[at] == x, counts[at], 0) if len(codes) else np.zeros(len(x), np.int64)
+                k = len(x) - -(-percent * len(x) // 100) + 1
+                x = x[np.argsort(seen, kind="stable")[:k]]  # of equal counts the smaller hash first
+                out.append((x.view(np.int64), np.full(k, rep), np.full(k, root), np.full(k, len(seen)), np.arange(k)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["code", "rep", "root", "size", "place"])
 
     return run
 
@@ -326,7 +369,8 @@ class _Job:
     """One detection: what it wrote, and its steps."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
-        self.docs, self.size, self.percent, self.spark = docs, size, percent, docs.sparkSession
+        self.docs = docs.withColumn("h", F.xxhash64("text"))
+        self.size, self.percent, self.spark = size, percent, docs.sparkSession
         self.need = matches_needed(percent / 100)
         self.places: list[str] = []
 
@@ -337,6 +381,12 @@ class _Job:
         self.places.append(place)
         return df
 
+    def texts(self, wanted: DataFrame, n: int) -> DataFrame:
+        """wanted, with a column id of classes and n rows, with the text of a document of each class."""
+        wanted = F.broadcast(wanted) if n <= SMALL_IDS else wanted  # at most 10 MB
+        found = wanted.join(self.classes.select(F.col("rep").alias("id"), F.col("one.doc_id").alias("doc_id"), F.col("one.h").alias("h")), "id")
+        return self.docs.join(F.broadcast(found) if n <= SMALL_IDS else found, ["doc_id", "h"])
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, w) that full sets confirm, as (a, b). Each centre's text goes once to each part of its star."""
         by = pairs.groupBy("u").agg(F.count("*").alias("n")).select("u", (F.col("n") / LIST).cast("int").alias("parts"))
@@ -345,74 +395,107 @@ class _Job:
         n = to.count()
         if not n:
             return self.spark.createDataFrame([], "a long, b long")
-        wanted = F.broadcast(to) if n <= SMALL_IDS else to  # at most 10 MB
-        rows = self.docs.join(wanted, F.col("doc_id") == F.col("id")).select("u", "part", F.col("id").alias("w"), "text")
+        rows = self.texts(to, n).select("u", "part", F.col("id").alias("w"), "text")
         rows = rows.repartition("u", "part").sortWithinPartitions("u", "part", F.col("u") != F.col("w"), "w")
         return self.keep(common.map_batches(rows, _confirm(self.size, self.percent), "a long, b long"), "links", common.BATCH_ROWS).distinct()
 
     def run(self) -> DataFrame:
-        docs = common.map_rows(self.docs, _describe(self.size), "doc_id long, n long, print binary, sig binary")
+        """One row a document: doc_id, h, n, rep, node (the component's class), and one: the (doc_id, h) of the component's smallest id."""
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
+        docs = common.map_rows(self.docs.select("doc_id", "h", "text"), _describe(self.size), f"doc_id {kind}, h long, n long, rep long, sig binary")
         described = self.keep(docs, "described", common.BATCH_ROWS)
-        self.described = self.places[-1]
         linked = described.where("doc_id is not null and n > 0")
-        reps = self.keep(linked.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-        self.classes = self.places[-1]
-        classes = reps.count()
+        self.classes = self.keep(linked.groupBy("rep").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.first("sig").alias("sig")), "classes")
+        lasting = self.places[:]
+        classes = self.classes.count()
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
         hot = max(HOT_LEAST, int(classes * HOT_SHARE))
-        often = reps.select("sig").mapInArrow(_frequent(3), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).toArrow().sort_by("code")
+        often = self.classes.select("sig").mapInArrow(_frequent(2), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= hot).toArrow().sort_by("code")
         codes, counts = (often[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("code", "n"))  # at most COORDINATES / HOT_SHARE
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
-        posted = reps.select("rep", "sig").mapInArrow(_post(codes, counts, COORDINATES - self.need + 1), "code long, part int, rep long, bits binary")
+        posted = self.classes.select("rep", "sig").mapInArrow(_post(codes, counts, COORDINATES - self.need + 1), "code long, part int, rep long, bits binary")
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
-        found = self.keep(posted.repartition("code", "part").sortWithinPartitions("code", "part", "rep").mapInArrow(_stars(self.need), "kind int, code long, u long, w long, n long, bits binary"), "stars")
+        found = self.keep(posted.repartition("code", "part").sortWithinPartitions("code", "part", "rep").mapInArrow(_stars(self.need), "kind int, code long, u long, w long, n long"), "stars")
         pairs = found.where("kind = 0").select("u", "w", "n")
         chosen = pairs.groupBy("w").agg(F.min("u").alias("first"), F.min_by("u", F.struct(-F.col("n"), F.col("u"))).alias("best"))
         tried = self.keep(chosen.select(F.explode(F.array_distinct(F.array("first", "best"))).alias("u"), "w"), "tried")
-        live = found.where("kind = 1").select("code", F.col("u").alias("rep"), "bits")
         links = self.links(tried)
         roots, place = graph.components(links)
-        for every in (False, True):
-            new = self.cross(live, graph.with_roots(roots), tried, every)
-            if new.isEmpty():
-                continue
-            more = self.links(new)
-            tried = tried.union(new)
-            if not more.isEmpty():
-                links = links.union(more)
-                self.places.append(place)
-                roots, place = graph.components(links)
+        left = self.across(found.where("kind = 1").select("code", F.col("u").alias("rep")), graph.with_roots(roots), tried)
+        if left is not None:
+            for every in (False, True):
+                pairs = left
+                if every:  # what lies across components still
+                    to = graph.with_roots(roots)
+                    for x in ("u", "w"):
+                        pairs = pairs.join(to.select(F.col("node").alias(x), F.col("root").alias(f"{x}_now")), x, "left")
+                    pairs = pairs.where(F.coalesce("u_now", "u") != F.coalesce("w_now", "w")).select("u", "w")
+                else:
+                    pairs = pairs.groupBy("ru", "rw").agg(F.min_by(F.struct("u", "w"), F.struct(-F.col("bound"), "u", "w")).alias("p")).select("p.u", "p.w")
+                more = self.links(pairs)
+                if not more.isEmpty():
+                    links = links.union(more)
+                    self.places.append(place)
+                    roots, place = graph.components(links)
         for p in self.places:
-            if p not in (self.described, self.classes):
+            if p not in lasting:
                 common.drop_folder(self.spark, p)
-        node = described.join(reps.select("print", "rep"), "print", "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
-        # rows that share an id are one node: their classes are linked by it
-        out = node.join(roots, F.col("rep") == F.col("node"), "left")
-        return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-
-    def cross(self, live: DataFrame, roots: DataFrame, tried: DataFrame, every: bool) -> DataFrame:
-        """Untried candidate pairs across components. Lists within one component don't move again."""
-        rows = live.join(roots, F.col("rep") == F.col("node"), "left").select("code", "rep", F.coalesce("root", "rep").alias("root"), "bits")
-        mixed = rows.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("code", (F.col("size") / LIST).cast("int").alias("parts"))
-        rows = rows.join(mixed, "code")
-        own = F.pmod(F.xxhash64("rep"), F.col("parts") + 1)
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long")))
-        rows = rows.withColumn("own", own.cast("long")).withColumn("other", other)
-        cell = (F.least("own", "other") * 1_000_003 + F.greatest("own", "other")).cast("long")
-        rows = rows.select("code", cell.alias("cell"), "rep", "root", "bits").repartition("code", "cell").sortWithinPartitions("code", "cell", "rep")
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
-        pairs = rows.mapInArrow(_across(self.need, every), "u long, w long").distinct()
-        return self.keep(pairs.join(tried, ["u", "w"], "left_anti"), "across")
+        to = graph.with_roots(roots)
+        least = to.join(self.classes.select(F.col("rep").alias("node"), "one"), "node").groupBy("root").agg(F.min("one").alias("top"))
+        of = to.join(least, "root").select(F.col("node").alias("rep"), "root", "top")
+        node = described.select("doc_id", "h", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")).join(self.classes.select("rep", "one"), "rep", "left").join(of, "rep", "left")
+        return node.select("doc_id", "h", "n", F.coalesce("root", "rep").alias("node"), F.coalesce("top", "one").alias("one"))
+
+    def across(self, live: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame | None:
+        """Untried candidate pairs of different components, from the classes that share a list with another component: u, w, their components, and how many shingles can agree. Joined on the rarest shingles of their sets."""
+        rows = live.join(roots, F.col("rep") == F.col("node"), "left").select("code", "rep", F.coalesce("root", "rep").alias("root"))
+        mixed = rows.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("code")
+        wanted = self.keep(rows.join(mixed, "code", "left_semi").select(F.col("rep").alias("id"), "root").distinct(), "live")
+        n = wanted.count()
+        if not n:
+            return None
+        texts = self.texts(wanted, n).select(F.col("id").alias("rep"), "root", "text")
+        sets = self.keep(common.map_batches(texts, _sets(self.size), "rep long, root long, shingles binary").dropDuplicates(["rep"]), "sets", common.BATCH_ROWS)
+        total = sets.agg(F.sum(F.octet_length("shingles") / 8).cast("long")).first()[0] or 0
+        often = common.map_batches(sets.select("shingles"), _common_shingles, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, total // HOT_SHINGLES)).toArrow()  # at most HOT_SHINGLES
+        codes, counts = (often[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("code", "n"))
+        codes = codes.view(np.uint64)
+        by = np.argsort(codes)
+        posted = self.keep(common.map_batches(sets, _prefixes(codes[by], counts[by], self.percent), "code long, rep long, root long, size long, place long"), "prefixes", common.BATCH_ROWS)
+        shared = posted.groupBy("code").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("code")
+        posted = posted.join(shared, "code", "left_semi")
+        a, b = (posted.select("code", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "root", "size", "place"))) for x in "ab")
+        p = self.percent
+        bound = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))  # the shared shingle and all after it
+        pairs = a.join(b, "code").where("rep_a < rep_b AND root_a != root_b").where((100 * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b")) & ((100 + p) * bound >= p * (F.col("size_a") + F.col("size_b"))))
+        pairs = pairs.groupBy(F.col("rep_a").alias("u"), F.col("rep_b").alias("w")).agg(F.max(bound).alias("bound"), F.least(F.first("root_a"), F.first("root_b")).alias("ru"), F.greatest(F.first("root_a"), F.first("root_b")).alias("rw"))
+        for x in ("u", "w"):
+            pairs = pairs.join(self.classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")), x)
+        pairs = common.map_batches(pairs.select("u", "w", "ru", "rw", "bound", "sig_u", "sig_w"), _agreeing(self.need), "u long, w long, ru long, rw long, bound long")
+        left = self.keep(pairs.join(tried, ["u", "w"], "left_anti"), "across")
+        return None if left.isEmpty() else left
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    return _Job(common.texts(docs, id_col, text_col), size, percent).run()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest id it reaches by links of at least `percent` similarity), kept (whether it is that one)."""
-    rows = common.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return _Job(rows, size, percent).run()
+    found = _found(docs, id_col, text_col, size, percent)
+    out = found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("one.doc_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """docs, with all its columns, with one document of each group; rows without an id stay, of rows that share an id one stays."""
-    gone = near_duplicates(docs, id_col, text_col, size, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone_id")).distinct()
-    rest = docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
-    return rest.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """docs, with all its columns, with one document of each group; rows without an id or words stay."""
+    found = _found(docs, id_col, text_col, size, percent).where("node is not null")
+    i, h = f"i_{uuid.uuid4().hex}", f"h_{uuid.uuid4().hex}"  # names that no table has
+    same = F.struct("doc_id", "h") == F.col("one")
+    gone = found.where(~same).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    again = found.where(same).groupBy(F.col("doc_id").alias(i), F.col("h").alias(h)).count().where("count > 1").select(i, h)
+    rows = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`"))).withColumn(i, F.col(f"`{id_col}`"))
+    rest = rows.join(gone, [i, h], "left_anti")
+    if not again.isEmpty():  # equal rows of one id
+        rest = rest.join(again, [i, h], "left_anti").unionByName(rest.join(again, [i, h], "left_semi").dropDuplicates([i, h]))
+    return rest.select(*(F.col(f"`{c}`") for c in docs.columns))
