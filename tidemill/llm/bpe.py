@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding as a tree reduction.
 
-A text is halved until a part is at most LEAF characters; leaves are encoded on
-their own, and neighbours are joined by encoding a window about their border
-anew. The window grows until each of its ends is the end of the text or a
-certified cut: a place with white space after it and none before it. No match
+A text is halved, once at least where it has two characters, until a part is at most
+LEAF characters; leaves are encoded on their own, and neighbours are joined by
+encoding a window about their border anew. The window grows on either side until its
+end is the end of the part or a certified cut, which proves that the tokens outside
+hold: a place with white space after it and none before it. No match
 of the split pattern runs over such a place (white space stands only first in a
 match that holds anything else, and a run of nothing but white space doesn't hold
 the character before), and what is matched on either side doesn't depend on the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAF = 8192
+LEAF = 128
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -57,13 +58,13 @@ class Codec:
         return _codecs[key]
 
     def encode(self, text: str | None) -> list[int]:
-        return self._encode(text, 0, len(text)) if text else []
+        return self._encode(text, 0, len(text), min(self.leaf, (len(text) + 1) // 2)) if text else []
 
-    def _encode(self, text: str, a: int, b: int) -> list[int]:
-        if b - a <= self.leaf:
+    def _encode(self, text: str, a: int, b: int, leaf: int) -> list[int]:
+        if b - a <= leaf:
             return self._leaf(text[a:b])
         m = (a + b) // 2
-        return self.join(text, a, m, b, self._encode(text, a, m), self._encode(text, m, b))
+        return self.join(text, a, m, b, self._encode(text, a, m, leaf), self._encode(text, m, b, leaf))
 
     def join(self, text: str, a: int, m: int, b: int, left: list[int], right: list[int]) -> list[int]:
         """Ids of text[a:b] from those of text[a:m] and text[m:b]."""
