@@ -21,7 +21,9 @@ scanned where it lies.
 Defined results: null and empty texts have no passage and the score of no
 evidence; rows of labels that are null or without a document are left out; with
 no usable labels of one of the classes every score is the share of toxic rows
-(0.0 without any); repeated rows get one result each.
+(0.0 without any); of several labels of one document the smaller counts; repeated
+rows get one result each. The model holds at most MAX_TOKENS words and beginnings,
+those of the highest log-odds; a text has no bound.
 """
 
 from __future__ import annotations
@@ -49,24 +51,28 @@ def tokens_of(word: bytes) -> list[bytes]:
 
 
 def segments(scores: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end exclusive, score), in linear time. scores: the places with a positive score; every other place scores -gap."""
-    found: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
+    """All maximal scoring segments (start, end exclusive, score), in linear time. scores: the places with a positive score; every other place scores -gap.
+
+    Each segment holds the place, in the list, of the nearest earlier one with a lower
+    total before it, so that the search for it doesn't go through those in between.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, link
     total, last = 0.0, 0
     for at, s in scores:
         total -= gap * (at - last)
-        now = (at, at + 1, total, total + s)
-        total += s
-        last = at + 1
+        start, end, before, after = at, at + 1, total, total + s
+        total, last = after, at + 1
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= now[3]:
-                found.append(now)
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= after:
+                found.append((start, end, before, after, j))
                 break
-            now = (found[j][0], now[1], found[j][2], now[3])
+            start, _, before, _, link = found[j]
             del found[j:]
-    return [(a, b, r - left) for a, b, left, r in found]
+            j = link
+    return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 class _Scores(dict):
@@ -138,7 +144,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, id_col: str, text_col: str, most: int) -> DataFrame:
     """doc_id, text, label, part: the labelled training rows of the smallest hashes; part 0 to 3 splits them. At most `most` of label rows are broadcast."""
     rows = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (common.fold("doc_id", folds) != 0))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most).dropDuplicates(["doc_id"])
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return common.texts(docs, id_col, text_col).join(F.broadcast(rows), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
 
 
@@ -194,37 +200,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     kept = t.where(F.col("d") >= MIN_ODDS).orderBy(F.desc("d"), "word").limit(MAX_TOKENS).select("word", "d", "a", "c").collect()
     common.drop_folder(spark, tally_place)
     model = Model({bytes(r.word): float(r.d) for r in kept})
-    # background of clean documents: how often a word of theirs has each score
+    held = rows.where("part = 0").select("text", "label")
+    # background of clean documents: how many segments there are, and the best of each document
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                found = model.passages(words)
-                out.append({"label": label, "n": len(words), "scores": [s for _, _, s, _ in found]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("label", pa.int32()), ("n", pa.int64()), ("scores", pa.list_(pa.float64()))]))
-
-    def best(r) -> float:
-        return max(r.scores, default=0.0)
+            words = [words_of(t) for t in batch.column(0).to_pylist()]
+            found = [[s for _, _, s, _ in model.passages(w)] for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(map(len, words)), pa.int64()), pa.array(list(map(len, found)), pa.int64()), pa.array([max(f, default=0.0) for f in found], pa.float64())], names=["label", "n", "found", "best"])
 
-    held = common.map_batches(rows.where("part = 0").select("text", "label"), scan, "label int, n long, scores array<double>")
-    held = held.select("label", "n", F.slice(F.sort_array("scores", False), 1, 50).alias("scores")).collect()
-    common.drop_folder(spark, place)
-    clean = [r for r in held if r.label == 0]
+    clean = common.map_batches(held.where("label = 0"), scan, "label int, n long, found long, best double").collect()
     total = sum(r.n for r in clean) + 1.0
     weights = np.array([r.d for r in kept] or [1.0])
     p = np.array([(r.c + r.a) for r in kept] or [1.0])
-    p = p / p.sum() * min(0.5, (sum(len(r.scores) for r in clean) + 1.0) / total)
+    p = p / p.sum() * min(0.5, (sum(r.found for r in clean) + 1.0) / total)
     model.lam = _lambda(weights, p)
     # K by moments: E has mean -log(K n) + Euler's constant over clean documents with a segment
-    at = [math.log(max(1, r.n)) - model.lam * best(r) for r in clean if r.scores]
+    at = [math.log(max(1, r.n)) - model.lam * r.best for r in clean if r.found]
     model.log_k = -(float(np.mean(at)) + 0.5772) if at else 0.0
-    if len({r.label for r in held}) == 2:
-        x = []
-        for r in held:
-            base = model.log_k + math.log(max(1, r.n))
-            x.append(model.evidence([], [(0, 0, s, base - model.lam * s) for s in r.scores]))
-        w = logistic(np.array(x), np.array([float(r.label) for r in held]), ridge=0.1)
+    # evidence as it is when scoring, from whole texts
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(0).to_pylist()]
+            got = [model.evidence(w, model.passages(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([g[k] for g in got], pa.float64()) for k in (0, 1))], names=["label", "best", "all"])
+
+    seen = common.map_batches(held, weigh, "label int, best double, all double").collect()
+    common.drop_folder(spark, place)
+    if len({r.label for r in seen}) == 2:
+        w = logistic(np.array([(r.best, r["all"]) for r in seen]), np.array([float(r.label) for r in seen]), ridge=0.1)
         model.slopes, model.bias = (max(0.0, float(w[0])), max(0.0, float(w[1]))), float(w[2])
     else:
         model.slopes, model.bias = (1.0, 1.0), -6.0
