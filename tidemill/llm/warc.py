@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GAP, READ, ROLL = 64 << 10, 8 << 20, 512 << 20
+GAP, READ, ROLL, TASK = 64 << 10, 8 << 20, 512 << 20, 64 << 20
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long, refers_to long"
 _NAMES = [x.split()[0] for x in INDEX.split(", ")]
 _KINDS = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
@@ -140,7 +140,10 @@ def ranges(entries: list[tuple[int, int]], gap: int = GAP, most: int = READ) ->
 
 def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that the index rows select: page_id, url, payload (null for revisits, or unless wanted), payload_bytes, payload_digest, record_type, refers_to. Digests of responses are computed anew and checked."""
-    chosen = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # by bytes of the archives, which the index's own size says nothing of: TASK a task, and less while that leaves cores idle
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, total // TASK, min(total >> 20, 2 * index.sparkSession.sparkContext.defaultParallelism))
+    chosen = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
 
     def flush(fs, path: str, name: str, entries: list[tuple[int, int]]) -> Iterator[tuple]:
         reads = ranges(entries)
