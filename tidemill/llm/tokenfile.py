@@ -263,13 +263,17 @@ class _Known(dict):
 
 _PACKERS = [struct.Struct(f"<{k}I").pack for k in range(16)]
 _tokenizers: dict[tuple, Tokenizer] = {}
-MANIFEST = "part int, file string, n_ids long, n_docs long"
+MANIFEST = "part int, seq int, file string, n_ids long, n_docs long"
+#: A file ends after so many ids or documents, so that neither its writer nor its footer grows; texts of a task.
+ROLL_IDS, ROLL_DOCS, TASK = 1 << 26, 1 << 18, 256 << 20
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 1, whole: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and write every text, in ascending order of ids; returns the manifest: part, file, n_ids, n_docs, start."""
+    """Encode and write every text, in ascending order of ids; returns the manifest: part, seq, file, n_ids, n_docs, start."""
     spark = docs.sparkSession
-    rows = common.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    total = docs.agg(F.sum(F.octet_length(f"`{text_col}`"))).first()[0] or 0
+    tasks = max(1, total // TASK, min(total >> 24, 16 * spark.sparkContext.defaultParallelism))
+    rows = common.texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", F.xxhash64("text")).repartitionByRange(tasks, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     fs, path = _stream(folder)
     fs.create_dir(path, recursive=True)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -278,25 +282,32 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 1,
         key = (vocabulary, whole)
         if key not in _tokenizers:
             _tokenizers[key] = Tokenizer(*key)
-        writer, part = None, TaskContext.get().partitionId()
-        name = f"part-{part:06d}-{uuid.uuid4().hex}.s8b"
+        writer, part, seq, name = None, TaskContext.get().partitionId(), 0, ""
+
+        def done() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "n_ids": pa.array([writer.n_ids], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64())})
+
         for batch in batches:
             for i, ids in zip(batch.column(0).to_pylist(), _tokenizers[key].encode(batch.column(1).to_pylist())):
+                if writer is not None and (writer.n_ids >= ROLL_IDS or len(writer.docs) >= ROLL_DOCS):
+                    yield done()
+                    writer, seq = None, seq + 1
                 if writer is None:
+                    name = f"part-{part:06d}-{seq:06d}-{uuid.uuid4().hex}.s8b"
                     writer = Writer(_stream(folder)[0].open_output_stream(f"{path}/{name}", compression=None))
                 writer.add(i, np.frombuffer(ids + end, "<u4"))
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_ids": pa.array([writer.n_ids], pa.int64()), "n_docs": pa.array([len(writer.docs)], pa.int64())})
+            yield done()
 
     common.map_batches(rows, run, MANIFEST).write.parquet(f"{folder}/manifest")
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
 
 
 def _read(manifest: DataFrame, folder: str, schema: str, one) -> DataFrame:
-    files = manifest.select("file", "start").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4), "file")
+    files = manifest.select("file", "start").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4, min(20_000, manifest.count())), "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _stream(folder)
