@@ -1,30 +1,31 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised test texts.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of all characters
-beyond ASCII. Each text is normalised to its words with a blank before, between
-and after them; so is each window of `size` consecutive words of a benchmark
-item. The automaton then finds all windows, overlapping ones too, in one scan of
-a text, and the number of blanks before a match gives its place in words; spans
-in the original text are found from the words' offsets for the few texts with a
-match.
-
-The benchmark's windows are written to the shared folder in blocks of at most
-BLOCK_WINDOWS; a worker holds one block's automaton and a bounded buffer of texts
-at a time, so that a benchmark of any size is used whole. No text is shuffled.
-
-A document is contaminated when it holds windows of at least min_items items.
+beyond ASCII. The patterns are all windows of `size` consecutive words of the
+benchmark's items, and the automaton's alphabet is their words: its states are
+beginnings of windows, and a failure arc leads from each to the longest end of it that
+is one too. It is built once, level by level, as arrays in the shared folder, which
+workers map into memory; about 80 bytes a window and word of it, for a benchmark of
+any size. A text's words are read once, and all windows found, overlapping ones too.
+Many passages are read in step: a passage of a text begins size - 1 words early, for
+no window is longer, so that its state is that of the whole text. No text is shuffled.
+
+The places of hits are in words; spans in the original text are found from the words'
+offsets for the few texts with a match. A document is contaminated when it holds
+windows of at least min_items items.
 
 Defined results: null and empty texts have no words, no hits and aren't
 contaminated; null or empty items have no window; equal windows of several items
 count for each of them; repeated rows get one result each; an empty benchmark
-leaves every document clean.
+leaves every document clean; a folder without the automaton is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import re
-from collections import OrderedDict
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW = 8
-BLOCK_WINDOWS = 20_000
-BUFFER_BYTES = 32 << 20
+WINDOW, PASSAGE = 8, 256
 #: Separators become blanks, A-Z is lower-cased, all else stays.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -46,87 +45,192 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> list[bytes]:
-    """The item's windows in normal form; an item of fewer words is one window."""
-    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))] if words else []
-
+def windows_of(words: list[bytes], size: int = WINDOW) -> list[list[bytes]]:
+    """The item's windows; an item of fewer words is one window."""
+    return [words[i : i + size] for i in range(max(1, len(words) - size + 1))] if words else []
 
-def window_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> str:
-    """Write the windows to the shared folder as (block, item_id, window); returns the place."""
 
-    def make():
-        return lambda i, t: (None if i is None else str(i), windows_of(words_of(t), size))
+class Automaton:
+    """States are numbered by level; 0 is the start. Arrays only:
+
+    words, word_ends: the alphabet's bytes on end, and where each word ends;
+    codes, heads: arcs by state * words + word, sorted, and where they lead;
+    fail: each state's failure arc; window: the number of the window that ends at a state, or -1;
+    link: the nearest state by failure arcs at which a window ends, or 0; length: words of each window;
+    item_ends, items: the numbers of each window's items; names, name_ends: the items' ids.
+    """
+
+    ARRAYS = ("words", "word_ends", "codes", "heads", "fail", "window", "link", "length", "item_ends", "items", "names", "name_ends")
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.__dict__.update(arrays)
+        self.number = {w: k for k, w in enumerate(_texts(self.words, self.word_ends))}
+        self.ids = [x.decode("utf-8", "surrogatepass") for x in _texts(self.names, self.name_ends)]
+        self.first = np.zeros(max(1, len(self.number)), np.int64)  # arcs of the start
+        k = int(np.searchsorted(self.codes, len(self.number)))
+        self.first[self.codes[:k]] = self.heads[:k]
+        self.ends = (self.window >= 0) | (self.link > 0)
+
+    @staticmethod
+    def build(rows: Iterator[tuple[str | None, list[bytes]]]) -> dict[str, np.ndarray]:
+        """From (item, window)."""
+        number: dict[bytes, int] = {}
+        windows: dict[tuple[int, ...], set[str]] = {}
+        for item, window in rows:
+            key = tuple(number.setdefault(w, len(number)) for w in window)
+            of = windows.setdefault(key, set())
+            if item is not None:
+                of.add(item)
+        names = sorted({x for of in windows.values() for x in of})
+        place = {x: k for k, x in enumerate(names)}
+        length = np.fromiter(map(len, windows), np.int64, len(windows))
+        owners = [sorted(place[x] for x in of) for of in windows.values()]
+        flat = np.fromiter((w for key in windows for w in key), np.int64, int(length.sum()))
+        del windows
+        start, state, base = np.cumsum(length) - length, np.zeros(len(length), np.int64), 1
+        codes, levels = [], []
+        for d in range(int(length.max(initial=0))):
+            on = np.flatnonzero(length > d)
+            new, inverse = np.unique(state[on] * len(number) + flat[start[on] + d], return_inverse=True)
+            state[on] = base + inverse
+            codes.append(new)
+            levels.append(np.arange(base, base + len(new)))
+            base += len(new)
+        codes = np.concatenate([np.zeros(0, np.int64), *codes])
+        heads = np.arange(1, base)
+        window = np.full(base, -1, np.int64)
+        window[state] = np.arange(len(state))
+        fail, link = np.zeros(base, np.int64), np.zeros(base, np.int64)
+        for level in levels[1:]:
+            parent, word = codes[level - 1] // len(number), codes[level - 1] % len(number)
+            at, left = fail[parent], np.arange(len(level))
+            while len(left):
+                to = _arc(codes, heads, at[left] * len(number) + word[left])
+                fail[level[left]] = to
+                left = left[(to == 0) & (at[left] > 0)]
+                at[left] = fail[at[left]]
+            link[level] = np.where(window[fail[level]] >= 0, fail[level], link[fail[level]])
+        joined = lambda parts: (np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(x) for x in parts], dtype=np.int64))
+        words, word_ends = joined(list(number))
+        named, name_ends = joined([x.encode("utf-8", "surrogatepass") for x in names])
+        items = np.array([x for of in owners for x in of], np.int64)
+        return dict(zip(Automaton.ARRAYS, (words, word_ends, codes, heads, fail, window, link, length, np.cumsum([len(of) for of in owners], dtype=np.int64), items, named, name_ends)))
+
+    def scan(self, texts: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
+        """(first word, end, window) of every occurrence in each text, in no order."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        n, size = len(self.number), int(self.length.max(initial=0))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not n or not sizes.sum():
+            return out
+        get = self.number.get
+        x = np.fromiter((get(w, -1) for t in texts for w in t), np.int64, int(sizes.sum()))
+        begins = np.cumsum(sizes) - sizes
+        many = -(-sizes // PASSAGE)
+        text = np.repeat(np.arange(len(texts)), many)
+        own = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * PASSAGE  # in words of the text
+        early = np.minimum(own, size - 1)
+        steps = np.minimum(PASSAGE, sizes[text] - own) + early
+        by = np.argsort(-steps, kind="stable")
+        place, first, steps = (begins[text] + own - early)[by], (begins[text] + own)[by], steps[by]
+        left, state = steps[::-1], np.zeros(len(by), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for step in range(int(steps[0])):
+            m = len(by) - int(np.searchsorted(left, step + 1))
+            at = place[:m] + step
+            word, now = x[at], state[:m]
+            go = np.flatnonzero((now > 0) & (word >= 0))
+            new = np.where(word >= 0, self.first[word], 0)
+            s = now[go]
+            while len(go):
+                to = _arc(self.codes, self.heads, s * n + word[go])
+                hit = to > 0
+                new[go[hit]] = to[hit]
+                s, go = self.fail[s[~hit]], go[~hit]
+                s, go = s[s > 0], go[s > 0]
+            state[:m] = new
+            ended = np.flatnonzero(self.ends[new] & (at >= first[:m]))
+            if len(ended):
+                found.append((text[by[ended]], at[ended], new[ended]))
+        for which, at, s in found:
+            for t, p, q in zip(which.tolist(), (at - begins[which] + 1).tolist(), s.tolist()):
+                while q > 0:
+                    w = int(self.window[q])
+                    if w >= 0:
+                        out[t].append((p - int(self.length[w]), p, w))
+                    q = int(self.link[q])
+        return out
+
+    def items_of(self, window: int) -> list[str]:
+        a, b = int(self.item_ends[window - 1]) if window else 0, int(self.item_ends[window])
+        return [self.ids[k] for k in self.items[a:b].tolist()]
+
+
+def _texts(raw: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    data, at, out = raw.tobytes(), 0, []
+    for e in ends.tolist():
+        out.append(data[at:e])
+        at = e
+    return out
 
-    items = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.col(f"`{text_col}`").alias("text"))
-    rows, place = common.keep(common.map_rows(items, make, "item_id string, windows array<binary>").select("item_id", F.explode("windows").alias("window")), "windows")
-    blocks = max(1, -(-rows.count() // BLOCK_WINDOWS))
-    url = common.new_folder(benchmark.sparkSession, "automata")
-    rows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))).repartition(min(blocks, 200), "block").write.partitionBy("block").parquet(url)
-    common.drop_folder(benchmark.sparkSession, place)
-    return url
 
+def _arc(codes: np.ndarray, heads: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Where arcs lead; 0 where there is none."""
+    if not len(codes):
+        return np.zeros(len(code), np.int64)
+    k = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    return np.where(codes[k] == code, heads[k], 0)
 
-class Automaton:
-    """All windows of one block."""
 
-    def __init__(self, rows: list[tuple[str, bytes]]):
-        import ahocorasick
+def _stream(url: str):
+    from pyarrow import fs
 
-        items: dict[bytes, list[str]] = {}
-        for item, window in rows:
-            items.setdefault(window, []).append(item)
-        self.machine = ahocorasick.Automaton()
-        for window, ids in items.items():
-            self.machine.add_word(window.decode("latin-1"), (len(window), window.count(b" ") - 1, tuple(sorted({x for x in ids if x is not None}))))
-        if items:
-            self.machine.make_automaton()
-        self.empty = not items
+    return fs.FileSystem.from_uri(url) if "://" in url else (fs.LocalFileSystem(), url)
 
-    def scan(self, normal: str) -> list[tuple[int, int, tuple]]:
-        """(place of the first blank, words, items) of every occurrence."""
-        return [] if self.empty else [(end - n + 1, k, ids) for end, (n, k, ids) in self.machine.iter(normal)]
 
+def write_automaton(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> str:
+    """Build the automaton in one task, as the benchmark is one pattern set, and write its arrays; returns their place."""
+    url = common.new_folder(benchmark.sparkSession, "automaton")
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item_id"), F.col(f"`{text_col}`").alias("text"))
 
-_automata: OrderedDict[tuple, Automaton] = OrderedDict()
+    def write(rows: Iterator[tuple[str | None, list[bytes]]]) -> str:
+        fs, path = _stream(url)
+        name = uuid.uuid4().hex  # of a lost attempt nothing is read
+        fs.create_dir(f"{path}/{name}", recursive=True)
+        for key, x in Automaton.build(rows).items():
+            held = io.BytesIO()
+            np.save(held, x)
+            with fs.open_output_stream(f"{path}/{name}/{key}.npy", compression=None) as f:
+                f.write(held.getbuffer())
+        return name
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"name": [write((i, w) for batch in batches for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in windows_of(words_of(t), size))]})
 
-def _blocks(url: str) -> list[tuple[str, int]]:
-    from pyarrow import fs
+    made = common.map_batches(items.coalesce(1), run, "name string").collect()
+    return f"{url}/{made[0].name if made else write(iter(()))}"
 
-    system, path = fs.FileSystem.from_uri(url) if "://" in url else (fs.LocalFileSystem(), url)
-    return [(url, int(x.base_name.partition("=")[2])) for x in system.get_file_info(fs.FileSelector(path)) if x.base_name.startswith("block=")]
 
+_automata: dict[str, Automaton] = {}
 
-def _automaton(key: tuple[str, int]) -> Automaton:
-    """A block's automaton; a worker keeps the last one only."""
-    if key not in _automata:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
 
-        url, block = key
-        system, path = fs.FileSystem.from_uri(url) if "://" in url else (fs.LocalFileSystem(), url)
-        t = ds.dataset(f"{path}/block={block}", filesystem=system, format="parquet").to_table(columns=["item_id", "window"])
+def _automaton(url: str) -> Automaton:
+    """A worker's own, kept while it is in use; the arrays are shared where they are files."""
+    if url not in _automata:
+        fs, path = _stream(url)
+        if fs.type_name == "local":
+            arrays = {k: np.load(f"{path}/{k}.npy", mmap_mode="r" if k not in ("words", "names") else None) for k in Automaton.ARRAYS}
+        else:
+            arrays = {k: np.load(io.BytesIO(fs.open_input_stream(f"{path}/{k}.npy").read())) for k in Automaton.ARRAYS}
         _automata.clear()
-        _automata[key] = Automaton(list(zip(t["item_id"].to_pylist(), t["window"].to_pylist())))
-    return _automata[key]
-
-
-def _find(batch: pa.RecordBatch, blocks: list[tuple[str, int]]) -> list[tuple[list[bytes], list[tuple[int, int]], set[str]]]:
-    """Words, hit spans in words, and items of each text of the batch."""
-    words = [words_of(t) for t in batch.column(1).to_pylist()]
-    normal = [(b" " + b" ".join(w) + b" ").decode("latin-1") for w in words]
-    spans: list[list[tuple[int, int]]] = [[] for _ in words]
-    items: list[set[str]] = [set() for _ in words]
-    for key in blocks:
-        machine = _automaton(key)
-        for i, text in enumerate(normal):
-            found = machine.scan(text) if len(text) > 2 else []
-            if found:
-                before = np.cumsum(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-                for start, k, ids in found:
-                    spans[i].append((int(before[start]) - 1, int(before[start]) - 1 + k))
-                    items[i].update(ids)
-    return list(zip(words, spans, items))
+        _automata[url] = Automaton(arrays)
+    return _automata[url]
+
+
+def _find(texts: list[str | None], url: str) -> list[tuple[list[bytes], list[tuple[int, int]], set[str]]]:
+    """Words, hit spans in words, and items of each text."""
+    machine, words = _automaton(url), [words_of(t) for t in texts]
+    return [(w, [(a, b) for a, b, _ in got], {x for k in {k for _, _, k in got} for x in machine.items_of(k)}) for w, got in zip(words, machine.scan(words))]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -147,60 +251,32 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, min_items: int = 1) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items (sorted as strings), items_sha256, contaminated, spans of the hit passages in the original text."""
-    url = window_blocks(benchmark, item_col, item_text_col, size)
+    url = write_automaton(benchmark, item_col, item_text_col, size)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
+    names_of = ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"]
+    fields = [pa.field("n_words", pa.int64()), pa.field("n_hit", pa.int64()), pa.field("n_items", pa.int64()), pa.field("items", pa.list_(pa.string())), pa.field("items_sha256", pa.string()), pa.field("contaminated", pa.bool_()), pa.field("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, buffer, size_now = sorted(_blocks(url)), [], 0
-
-        def flush():
-            for batch in _join(buffer):
-                rows = []
-                for (i, text), (words, spans, items) in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), _find(batch, blocks)):
-                    spans, names = merged(spans), sorted(items)
-                    rows.append((i, len(words), sum(b - a for a, b in spans), len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), len(names) >= min_items, [{"start": a, "end": b} for a, b in original_spans(text or "", spans)]))
-                yield pa.RecordBatch.from_pylist([dict(zip(names_of, r)) for r in rows], schema=pa.schema([pa.field("doc_id", batch.schema.field(0).type), *fields]))
-
-        names_of = ["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "spans"]
-        fields = [pa.field("n_words", pa.int64()), pa.field("n_hit", pa.int64()), pa.field("n_items", pa.int64()), pa.field("items", pa.list_(pa.string())), pa.field("items_sha256", pa.string()), pa.field("contaminated", pa.bool_()), pa.field("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
         for batch in batches:
-            buffer.append(batch)
-            size_now += batch.nbytes
-            if size_now >= BUFFER_BYTES or len(blocks) <= 1:
-                yield from flush()
-                buffer, size_now = [], 0
-        yield from flush()
+            texts, rows = batch.column(1).to_pylist(), []
+            for i, text, (words, spans, items) in zip(batch.column(0).to_pylist(), texts, _find(texts, url)):
+                spans, names = merged(spans), sorted(items)
+                rows.append((i, len(words), sum(b - a for a, b in spans), len(names), names, hashlib.sha256(",".join(names).encode("utf-8", "surrogatepass")).hexdigest(), len(names) >= min_items, [{"start": a, "end": b} for a, b in original_spans(text or "", spans)]))
+            yield pa.RecordBatch.from_pylist([dict(zip(names_of, r)) for r in rows], schema=pa.schema([pa.field("doc_id", batch.schema.field(0).type), *fields]))
 
     return common.map_batches(common.texts(docs, id_col, text_col), run, schema)
 
 
-def _join(buffer: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-    if len(buffer) < 2:
-        return buffer
-    return pa.Table.from_batches(buffer).combine_chunks().to_batches()
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, min_items: int = 1) -> DataFrame:
     """docs, with all its columns, without the contaminated ones. Texts are scanned where they lie; nothing is shuffled."""
-    url = window_blocks(benchmark, "item_id", "text", size)
+    url = write_automaton(benchmark, "item_id", "text", size)
     kinds, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, buffer, size_now = sorted(_blocks(url)), [], 0
-
-        def flush():
-            for batch in _join(buffer):
-                found = _find(pa.RecordBatch.from_arrays([batch.column(at), batch.column(at)], names=["a", "b"]), blocks)
-                yield batch.filter(pa.array([len(items) < min_items for _, _, items in found], pa.bool_()))
-
         for batch in batches:
-            buffer.append(batch)
-            size_now += batch.nbytes
-            if size_now >= BUFFER_BYTES or len(blocks) <= 1:
-                yield from flush()
-                buffer, size_now = [], 0
-        yield from flush()
+            found = _find(batch.column(at).to_pylist(), url)
+            yield batch.filter(pa.array([len(items) < min_items for _, _, items in found], pa.bool_()))
 
     common.bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, kinds)
