@@ -115,11 +115,43 @@ def test_lists_over_batches(size):
     assert seen == collections.Counter(k for _, _, k in rows)
 
 
-def test_rows_of_one_id_are_one_node(spark):
+def test_rows_that_share_an_id_are_linked_by_their_texts(spark):
     a, b = [" ".join(f"{x}{k}" for k in range(30)) for x in "ab"]
-    docs = [(1, a), (2, b), (5, a + " z"), (5, b + " z"), (9, "else")]
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2).collect()}
-    assert got == {1: 1, 2: 1, 5: 1, 9: 9}
+    docs = [(1, a), (2, b), (5, a + " z"), (5, b + " z"), (5, b + " z"), (9, "else"), (7, ""), (7, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df, size=2).collect())
+    assert got == [(1, 1), (2, 2), (5, 1), (5, 2), (5, 2), (7, 7), (7, 7), (9, 9)]
+    assert sorted(r.doc_id for r in minhash.deduplicate(df, size=2).collect()) == [1, 2, 7, 7, 9]
+    one = spark.createDataFrame([(5, a), (5, a + " z"), (5, a)], df.schema)  # a group of one id
+    assert minhash.deduplicate(one, size=2).count() == 1
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,0)"])
+def test_ids_of_other_types_and_clashing_columns(spark, kind):
+    a = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([("20", a, "x", 1, 2, 3), ("3", a + " z", "y", 1, 2, 3), ("4", "other", None, 1, 2, 3)], "doc_id string, text string, __gone_id string, h int, one int, node int").withColumn("doc_id", common.F.col("doc_id").cast(kind))
+    least = "20" if kind == "string" else "3"  # text is ordered as text
+    got = {str(r.doc_id): str(r.component_id) for r in minhash.near_duplicates(df, size=2).collect()}
+    assert got == {"20": least, "3": least, "4": "4"}
+    out = minhash.deduplicate(df, size=2)
+    assert out.schema == df.schema and {str(r.doc_id) for r in out.collect()} == {least, "4"}
+
+
+def test_a_shared_template_makes_no_pairs(spark, monkeypatch):
+    """Documents at a similarity of 0.6 through their template: every table that is written stays linear in them."""
+    sizes, keep = {}, common.keep
+
+    def counted(df, kind):
+        out = keep(df, kind)
+        sizes[kind] = sizes.get(kind, 0) + out[0].count()
+        return out
+
+    monkeypatch.setattr(common, "keep", counted)
+    template = " ".join(f"t{k}" for k in range(76))
+    docs = [(i, f"{template} {' '.join(f'w{i}x{k}' for k in range(25))}") for i in range(600)]
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2)
+    assert got.where("kept").count() == 600 and got.where("doc_id != component_id").count() == 0
+    assert sizes.get("across", 0) == 0 and sizes["tried"] <= 2 * 600 and sizes["prefixes"] <= 25 * 600
 
 
 def test_matches_needed():
@@ -292,14 +324,44 @@ def test_pipeline_against_plain_forms(spark):
     rest = {i: t for i, t in rest.items() if score(t) < 0.5}
     groups = brute_components(list(rest.items()), 5, 80)
     rest = {i: t for i, t in rest.items() if groups[i] == i}
-    items = [(r.item_id, set(decontaminate.windows_of(decontaminate.words_of(r.text)))) for r in common.table(spark, SF, "benchmark").collect()]
+    items = [(r.item_id, decontaminate.windows_of(decontaminate.words_of(r.text))) for r in common.table(spark, SF, "benchmark").collect()]
 
     def hits(t):
         n = b" " + b" ".join(decontaminate.words_of(t)) + b" "
-        return sum(any(w in n for w in ws) for _, ws in items)
+        return sum(any(b" " + b" ".join(w) + b" " in n for w in ws) for _, ws in items)
 
     rest = {i: t for i, t in rest.items() if not hits(t)}
     field, codec = pii.trained(), bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     want = {i: codec._leaf(pii.redacted(t, pii.all_spans(t, field))) for i, t in rest.items()}
     assert {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()} == want
     assert zlib.crc32(b"1") == common.fold_of(1, 1 << 32)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing columns, and tables without rows."""
+    import corpus_pipeline
+
+    long = "many words here " * 3000
+    rows = [(1, "some text of its own", "x", 1), (1, "some text of its own", "x", 1), (None, "some text of its own", None, 2), (2, None, "y", None), (2, "", "y", 3), (3, long, None, 4), (4, "mail me at a@b.cd", "z", 5)]
+    schema = "doc_id long, text string, doc_text string, h int"
+    labels = [(1, 1, 0), (4, 0, 1), (None, 1, 1)]
+    for name, docs, marks, items in (("odd", rows, labels, [("q", "never seen words in any of these"), ("r", None)]), ("none", [], [], [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, d).collect()
+        # of the equal rows of id 1 one stays; rows without an id or words are in no group
+        assert sorted(str(r.doc_id) for r in out) == (["1", "2", "2", "3", "4", "None"] if docs else [])
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            assert f(spark, spark.read.parquet(f"{d}/documents.parquet"), d).columns == ["doc_id", "text", "doc_text", "h"], stage
+
+
+@pytest.mark.parametrize("key", ["op1_minhash", "op2_byte_bpe", "op3_pii", "op4_toxicity", "op5_warc", "op6_token_files", "op7_language_model", "op8_decontaminate", "op9_tiff", "op10_quality"])
+def test_queries_give_a_row_for_each_row(spark, key):
+    from tidemill.llm import queries
+
+    table, name = ("pages", "page_id") if key == "op5_warc" else ("documents", "doc_id")
+    got = queries.QUERIES[key](spark, SF)
+    ids = [r[name] for r in got.select(name).collect()]
+    assert sorted(ids) == sorted(r[name] for r in common.table(spark, SF, table).select(name).collect())

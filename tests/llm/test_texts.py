@@ -1,9 +1,12 @@
 """Operators over texts, one row each: exact forms, round trips, and odd rows."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -79,9 +82,9 @@ def brute_hits(text, items, size=8):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block", [20_000, 3])
-def test_decontamination(spark, odd, nothing, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+@pytest.mark.parametrize("passage", [256, 3])
+def test_decontamination(spark, odd, nothing, monkeypatch, passage):
+    monkeypatch.setattr(decontaminate, "PASSAGE", passage)
     r = random.Random(2)
     vocabulary = ["Ab", "cd", "é", "Ef9", "x-y", "z"]
     say = lambda a, b: " ".join(r.choice(vocabulary) for _ in range(r.randint(a, b)))
@@ -102,6 +105,21 @@ def test_decontamination(spark, odd, nothing, monkeypatch, block):
     assert decontaminate.contamination(odd, bench.limit(0)).where("contaminated or n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("passage", [1, 7, 256])
+def test_automaton_finds_every_window(monkeypatch, passage):
+    """Overlapping, nested and repeated windows, whatever passages a text is read in."""
+    monkeypatch.setattr(decontaminate, "PASSAGE", passage)
+    r = random.Random(passage)
+    for _ in range(40):
+        say = lambda n: [r.choice([b"a", b"b", b"c"]) for _ in range(n)]
+        windows = [(str(k % 5), say(r.randint(1, 8))) for k in range(r.randint(0, 25))]
+        machine = decontaminate.Automaton(decontaminate.Automaton.build(iter(windows)))
+        texts = [[w if r.random() < 0.9 else b"z" for w in say(r.randint(0, 40))] for _ in range(6)]
+        for words, got in zip(texts, machine.scan(texts)):
+            want = {(p, p + len(w), i) for i, w in windows for p in range(len(words) - len(w) + 1) if words[p : p + len(w)] == w}
+            assert {(a, b, i) for a, b, w in got for i in machine.items_of(w)} == want and len(got) == len({(a, b) for a, b, _ in want})
+
+
 def test_missing_automata_are_an_error(spark):
     docs, bench = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     got = decontaminate.contamination(docs, bench)
@@ -202,9 +220,98 @@ def test_segments_against_brute_force():
             _, _, _, a, b = best
             return maximal(lo, a) + [(a, b, best[0])] + maximal(b, hi)
 
-        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in maximal(0, n)))
-        assert max(s for *_, s in got) if got else 0 == pytest.approx(max((s for *_, s in maximal(0, n)), default=0))
-
+        want = maximal(0, n)
+        assert sorted(s for *_, s in got) == pytest.approx(sorted(s for *_, s in want))
+        assert all(sum(x[a:b]) == pytest.approx(s) for a, b, s in got) and all(b <= a for (_, b, _), (a, _, _) in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("step", [2, 30, 200])
+def test_segments_one_by_one(step):
+    """The same segments as the scan that looks at all earlier ones, in time linear in the hits."""
+
+    def plain(scores, gap):
+        found, total, last = [], 0.0, 0
+        for at, s in scores:
+            total -= gap * (at - last)
+            now, total, last = (at, at + 1, total, total + s), total + s, at + 1
+            while True:
+                j = next((j for j in range(len(found) - 1, -1, -1) if found[j][2] < now[2]), -1)
+                if j < 0 or found[j][3] >= now[3]:
+                    found.append(now)
+                    break
+                now = (found[j][0], now[1], found[j][2], now[3])
+                del found[j:]
+        return [(a, b, r - left) for a, b, left, r in found]
+
+    r = random.Random(step)
+    for _ in range(60):
+        at = sorted(r.sample(range(step * 60), 60))
+        scores = [(k, r.choice([0.5, 1.0, 3.0])) for k in at]
+        assert toxicity.segments(scores, 0.1) == plain(scores, 0.1)
+    start = time.time()
+    assert len(toxicity.segments([(k * 30, 1.0) for k in range(16_000)], 0.1)) == 16_000
+    assert time.time() - start < 1
+
+
+def test_toxicity_odds_against_plain_counts(spark):
+    """The log-odds of every word and beginning, from the labelled rows by hand."""
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    rows = [r for r in toxicity._apart(toxicity.sample(docs, labels, "toxic", 5, "doc_id", "text", 10_000)).collect() if r.part > 0]
+    n, count = [0, 0], [collections.Counter(), collections.Counter()]
+    for row in rows:
+        words = set(toxicity.words_of(row.text))
+        n[row.label] += len(words)
+        for w in words:
+            count[row.label].update(toxicity.tokens_of(w))
+    prior = min(toxicity.PRIOR, toxicity.PRIOR_SHARE * sum(n))
+    want = {}
+    for w in count[0].keys() | count[1].keys():
+        c, t = count[0][w], count[1][w]
+        if c + t >= toxicity.MIN_DOCS:
+            a = (c + t) / sum(n) * prior
+            odds = lambda x, m: math.log((x + a) / (m + prior - x - a))
+            d = odds(t, n[1]) - odds(c, n[0]) - toxicity.LOWER * math.sqrt(1 / (t + a) + 1 / (c + a))
+            if d >= toxicity.MIN_ODDS:
+                want[w] = d
+    assert model.weights.keys() == want.keys() and all(model.weights[w] == pytest.approx(d) for w, d in want.items())
+    p = np.array([count[0][w] + (count[0][w] + count[1][w]) / sum(n) * prior for w in want])
+    assert model.lam > 0 and len(p) and model.slopes[0] >= 0
+
+
+def test_two_labels_of_one_document(spark):
+    docs = spark.createDataFrame([(i, "a b") for i in range(50)], "doc_id long, text string")
+    both = spark.createDataFrame([(i, y, y) for i in range(50) for y in (1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.label for r in toxicity.sample(docs, both, "toxic", 5, "doc_id", "text", 100).collect()} == {0}
+
+
+def test_ranking_is_the_best_by_brute_force(spark):
+    """The weights are where the penalised logistic loss over the drawn pairs is flat, and the threshold is the quantile of label 0's share."""
+    docs, labels = labelled(spark)
+    pairs, seed = 2_000, 3
+    model = quality.fit(docs, labels, pairs=pairs, seed=seed)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    rows = sorted({(zlib.crc32(text[r.doc_id].encode()), r.quality, text[r.doc_id]) for r in labels.collect() if common.fold_of(r.doc_id, 5) != 0})
+    x, y = np.array([quality.features(t) for _, _, t in rows]), np.array([q for _, q, _ in rows], float)
+    scale = np.where(x.std(0) < 1e-9, 1.0, x.std(0))
+    z = np.clip((x - x.mean(0)) / scale, -8, 8)
+    rng = np.random.default_rng(seed)
+    d = z[rng.choice(np.flatnonzero(y == 1), pairs)] - z[rng.choice(np.flatnonzero(y == 0), pairs)]
+
+    def loss(w):
+        return 2 * sum(math.log1p(math.exp(-float(row @ w))) for row in d) + 0.5 * pairs * 1e-3 * float(w @ w)
+
+    best = loss(model.weights)
+    r = random.Random(1)
+    for _ in range(30):
+        assert loss(model.weights + np.array([r.gauss(0, 0.05) for _ in model.weights])) > best
+    raw = ((x - x.mean(0)) / scale) @ model.weights
+    assert model.threshold == pytest.approx(float(np.quantile(raw, 1 - y.mean())))
+    scores = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i in list(text)[:40]:
+        v = float(((np.array(quality.features(text[i])) - x.mean(0)) / scale) @ model.weights)
+        z0 = max(-40.0, min(40.0, model.slope * (v - model.threshold) + math.log(0.3 / 0.7)))
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-z0)))
 
 def labelled(spark, n=400):
     r = random.Random(5)
