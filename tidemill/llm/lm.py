@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_BYTES, RANGE_KEYS, ORDER, MOST_PARTITIONS = 6 << 20, 2_500_000, 3, 20_000
+BLOCK_BYTES, RANGE_KEYS, ORDER, MOST_PARTITIONS = 6 << 20, 1_500_000, 3, 20_000
 END = b"\x20"  # no word holds a blank
 START = 0  # a text's start, as a word of a block
 
@@ -181,8 +181,8 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = codes[by]
     new = np.ones(len(codes), bool)
     np.not_equal(codes[1:], codes[:-1], out=new[1:])
-    inverse = np.empty(len(codes), np.int64)
-    inverse[by] = np.cumsum(new) - 1
+    inverse = np.empty(len(codes), np.int32)
+    inverse[by] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return codes[new], by[new], inverse
 
 
@@ -210,15 +210,15 @@ class Block:
         gram, hashed = y, self.hashes
         for k in range(2, order + 1):
             where = np.flatnonzero(at >= k - 1)
-            codes, one, inverse = _distinct(gram[where - 1] * self.width + y[where])
-            history, last = codes // self.width, codes % self.width
+            codes, one, inverse = _distinct(gram[where - 1].astype(np.int64) * self.width + y[where])
+            history, last = (codes // self.width).astype(np.int32), (codes % self.width).astype(np.int32)
             self.suffix.append(gram[where[one]])
             self.history.append(history)
             self.last.append(last)
             hashed = _mix(hashed[history], self.hashes[last])
             self.keys.append(_key(hashed, k, last == self.end, bits))
             self.own.append(np.bincount(inverse[learned[where]], minlength=len(codes)))
-            gram = np.zeros(len(y), np.int64)  # no state is long enough to ask where there is none
+            gram = np.zeros(len(y), np.int32)  # no state is long enough to ask where there is none
             gram[where] = inverse
             self.grams.append(gram)
         self.cuts = np.cumsum([len(k) for k in self.keys])[:-1]
@@ -377,7 +377,7 @@ class Automaton:
         self.seen, self.back, self.after = counts > 0, np.concatenate(back) if back else np.zeros(0), np.concatenate(after)
         self.seen[: b.width] = True  # the start has an arc for every word, unknown ones too
         offsets = np.concatenate([[0], b.cuts])
-        self.arcs = np.stack([g + o for g, o in zip(b.grams, offsets)])  # by length of state and place
+        self.arcs = np.stack([(g + o).astype(np.int32) for g, o in zip(b.grams, offsets)])  # by length of state and place
         self.first = int(order > 1 and by[0][START] > 0)
 
     def traverse(self, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
