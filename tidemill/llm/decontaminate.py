@@ -5,7 +5,7 @@ beyond ASCII. The patterns are all windows of `size` consecutive words of the
 benchmark's items, and the automaton's alphabet is their words: its states are
 beginnings of windows, and a failure arc leads from each to the longest end of it that
 is one too. It is built once, level by level, as arrays in the shared folder, which
-workers map into memory; about 80 bytes a window and word of it, for a benchmark of
+workers map into memory; about 40 bytes a window and word of it, for a benchmark of
 any size. A text's words are read once, and all windows found, overlapping ones too.
 Many passages are read in step: a passage of a text begins size - 1 words early, for
 no window is longer, so that its state is that of the whole text. No text is shuffled.
