@@ -115,6 +115,29 @@ def test_lists_over_batches(size):
     assert seen == collections.Counter(k for _, _, k in rows)
 
 
+@pytest.mark.parametrize("m,near", [(3, 1), (64, 5), (65, 0), (300, 0), (300, 40), (700, 200)])
+def test_only_members_with_a_partner_go_on(m, near):
+    """In a list, brute force says who agrees with whom; members that no centre took are no partners for that."""
+    import pyarrow as pa
+
+    need, k = 33, minhash.COORDINATES
+    r = np.random.default_rng(m + near)
+    nibbles = r.integers(0, 16, (m, k), dtype=np.uint8)
+    for _ in range(near):  # about the threshold
+        a, b = r.integers(0, m, 2)
+        some = r.permutation(k)[: r.integers(need - 3, need + 6)]
+        nibbles[a, some] = nibbles[b, some]
+    bits = nibbles[:, : k // 2] | (nibbles[:, k // 2 :] << 4)
+    batch = pa.RecordBatch.from_pydict({"code": pa.array([7] * m, pa.int64()), "part": pa.array([-1] * m, pa.int32()), "rep": pa.array(range(m), pa.int64()), "bits": pa.array([x.tobytes() for x in bits], pa.binary())})
+    agree = (nibbles[:, None] == nibbles[None]).sum(axis=2)
+    close = (agree >= need) & ~np.eye(m, dtype=bool)
+    rows = [x for b in minhash._stars(need)(iter([batch])) for x in b.to_pylist()]
+    assert sorted(x["u"] for x in rows if x["kind"] == 1) == np.flatnonzero(close.any(axis=1)).tolist()
+    pairs = [x for x in rows if x["kind"] == 0]
+    assert all(x["u"] < x["w"] and close[x["u"], x["w"]] and agree[x["u"], x["w"]] == x["n"] for x in pairs)
+    assert bool(pairs) or m > 64 or not close.any()
+
+
 def test_rows_that_share_an_id_are_linked_by_their_texts(spark):
     a, b = [" ".join(f"{x}{k}" for k in range(30)) for x in "ab"]
     docs = [(1, a), (2, b), (5, a + " z"), (5, b + " z"), (5, b + " z"), (9, "else"), (7, ""), (7, None)]

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-COORDINATES, MISS, LIST, CENTRES, HOT_SHARE, HOT_LEAST, CACHE, SMALL_IDS, HOT_SHINGLES = 64, 1e-7, 1 << 15, 32, 1e-4, 64, 300_000, 500_000, 500_000
+COORDINATES, MISS, LIST, CENTRES, HOT_SHARE, HOT_LEAST, CACHE, SMALL_IDS, HOT_SHINGLES, COMPARED = 64, 1e-7, 1 << 15, 32, 1e-4, 64, 300_000, 500_000, 500_000, 1 << 24
 _rng = np.random.default_rng(20_240_101)
 _A = _rng.integers(1 << 62, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -116,9 +116,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
-def _codes(packed: np.ndarray) -> np.ndarray:
-    """4-bit values, one a byte, of rows of packed bytes."""
-    return np.concatenate([packed & 15, packed >> 4], axis=1)
+_ONES = np.uint64(0x1111111111111111)
+
+
+def _agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many 4-bit values agree, for rows of packed bytes as 64-bit words: of the last axis."""
+    if a.size < 1 << 14 and a.ndim == 2:  # fewer calls
+        x = a ^ b
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        return np.uint8(COORDINATES) - np.bitwise_count(x & _ONES).sum(axis=-1, dtype=np.uint8)
+    out = np.zeros(np.broadcast_shapes(a.shape, b.shape)[:-1], np.uint8)
+    for k in range(a.shape[-1]):
+        x = a[..., k] ^ b[..., k]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        out += np.bitwise_count(x & _ONES)
+    return np.uint8(COORDINATES) - out
 
 
 def _describe(size: int):
@@ -220,11 +234,39 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[tuple
         yield not cut, *rest
 
 
+def _promising(lists: Iterator[tuple], need: int) -> Iterator[tuple]:
+    """The lists without those short whole ones of which no two members agree often enough: most, held against themselves many at once."""
+
+    def flush() -> Iterator[tuple]:
+        sizes = np.array([len(x[3]) for x in held])
+        words = np.ascontiguousarray(np.concatenate([x[4] for x in held])).view(np.uint64)
+        ends, of = np.repeat(np.cumsum(sizes), sizes), np.repeat(np.arange(len(held)), sizes)
+        some, at, d = np.zeros(len(held), bool), np.arange(len(words)), 1
+        while len(at := at[at + d < ends[at]]):
+            some[of[at[_agreements(words[at], words[at + d]) >= need]]] = True
+            d += 1
+        yield from (held[k] for k in np.flatnonzero(some))
+
+    held: list[tuple] = []
+    rows = 0
+    for x in lists:
+        if not x[0] or x[2][0] >= 0 or len(x[3]) > 64:
+            yield x
+            continue
+        held.append(x)
+        rows += len(x[3])
+        if rows > 20_000:
+            yield from flush()
+            held, rows = [], 0
+    if held:
+        yield from flush()
+
+
 def _stars(need: int):
     """Per list: (centre, member, agreements) pairs, and the rows that have a candidate partner in it."""
 
     def one(rep: np.ndarray, bits: np.ndarray, whole: bool):
-        codes = _codes(bits)
+        codes = np.ascontiguousarray(bits).view(np.uint64)
         m = len(rep)
         paired = np.zeros(m, bool)
         pairs = []
@@ -233,7 +275,7 @@ def _stars(need: int):
             if len(left) < 2:
                 break
             c = left[0]
-            n = (codes[left[1:]] == codes[c]).sum(axis=1)
+            n = _agreements(codes[left[1:]], codes[c])
             hit = n >= need
             if hit.any():
                 got = left[1:][hit]
@@ -243,19 +285,22 @@ def _stars(need: int):
         if not whole:  # a partner may be in another part of the list
             paired[:] = True
             return pairs, paired
-        if len(left) > 1:  # what the centres don't reach may still pair among itself
-            paired[left] = True
-        # the members that a centre took may pair with the ones that it didn't
-        rest = np.flatnonzero(~paired)
-        taken = np.flatnonzero(paired)
-        if len(rest) * len(taken) > 1 << 22:  # not worth finding out
-            paired[rest] = len(taken) > 0
+        # what no centre reached may pair among itself, or with the members that a centre took; a centre that took none has no partner
+        rest = np.flatnonzero(~paired) if paired.any() else left if len(left) > 1 else left[:0]
+        if not len(rest):
+            return pairs, paired
+        if len(rest) * m > COMPARED:  # not worth finding out
+            paired[rest] = True
             return pairs, paired
-        for a in range(0, len(rest), 256):
-            r = rest[a : a + 256]
-            for b in range(0, len(taken), 4096):
-                t = taken[b : b + 4096]
-                paired[r] |= ((codes[r][:, None, :] == codes[t][None, :, :]).sum(axis=2) >= need).any(axis=1) if len(r) * len(t) < 1 << 21 else np.array([((codes[t] == codes[x]).sum(axis=1) >= need).any() for x in r])
+        others = paired.copy()
+        others[left] = True
+        others = np.flatnonzero(others)
+        step = max(1, (1 << 18) // max(1, len(others)))
+        for a in range(0, len(rest), step):
+            r = rest[a : a + step]
+            close = _agreements(codes[r][:, None], codes[others][None]) >= need
+            close &= r[:, None] != others
+            paired[r] |= close.any(axis=1)
         return pairs, paired
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +310,7 @@ def _stars(need: int):
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["kind", "code", "u", "w", "n"])
 
-        for whole, code, part, rep, bits in _runs(batches, LIST):
+        for whole, code, part, rep, bits in _promising(_runs(batches, LIST), need):
             pairs, paired = one(rep, bits, whole and part[0] < 0)
             for u, w, n in pairs:
                 differ = u != w
