@@ -266,6 +266,30 @@ def test_language_model_against_plain_counts(spark, monkeypatch, kind, order, si
                 assert sum(model.p(history, x) for (x,) in c) + model.p(history, b"?") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("together,least", [(16, 2), (5, 9)])
+def test_language_model_exchanges_by_chunks(spark, monkeypatch, together, least):
+    """Blocks and ranges grow with the input; rows for each of one with each of the other took most of the time at 6 GB."""
+    texts, kept, sizes, keep = lm_texts("all"), {}, {}, common.keep
+
+    def noted(df, kind):
+        out = keep(df, kind)
+        kept[kind], sizes[kind] = out[0], out[0].count()
+        return out
+
+    for name, value in (("BLOCK_BYTES", 300), ("RANGE_KEYS", 500), ("CHUNK_BLOCKS", together), ("LEAST_CHUNKS", least), ("SLICES", 3), ("HELD_BYTES", 1000), ("SHARED", 100)):
+        monkeypatch.setattr(lm, name, value)
+    monkeypatch.setattr(common, "keep", noted)
+    df = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string").repartition(4)
+    got = lm.score(df, lambda i: common.fold(i, 7) != 2).collect()
+    model = BruteModel([lm.words_of(t) for i, t in texts if i is not None and common.fold_of(i, 7) != 2], 3)
+    want = sorted((repr(i), model.score(lm.words_of(t))) for i, t in texts)
+    have = sorted((repr(x.doc_id), x.score) for x in got)
+    assert [x for x, _ in have] == [x for x, _ in want] and [y for _, y in have] == pytest.approx([y for _, y in want], abs=1e-5)
+    ranges = kept["counts"].select("span").dropna().distinct().count()
+    for kind in ("counts", "continuations"):
+        assert 0 < 2 * kept[kind].where("span is not null").count() < sizes["blocks"] * ranges
+
+
 def test_language_model_in_step_and_alone():
     r = random.Random(6)
     texts = [[r.randrange(12) for _ in range(r.choice([1, 5, 30, 200]))] for _ in range(60)]

@@ -12,16 +12,21 @@ out. Their number grows with the corpus, so that they are never whole in one pla
 
 1. Texts are read into blocks of about BLOCK_BYTES, numbered word by word and written
    to the shared folder; nothing is shuffled for that, and what follows starts there.
-2. Each block hands its distinct n-grams, as sorted keys with their training
-   counts, to ranges of keys. A range adds up what all blocks hold and answers each
-   block in the order in which it asked. Keys are hashes of whole n-grams, so that
-   ranges are even whatever word, history or text is frequent: an n-gram comes once
-   from a block at most. For each n-gram one of its blocks is told to count it.
+2. Each chunk of blocks hands its distinct n-grams, as sorted keys with their training
+   counts and which of its blocks hold them, to ranges of keys. A range adds up what all
+   chunks hold and answers each in the order in which it asked. Keys are hashes of whole
+   n-grams, so that ranges are even whatever word, history or text is frequent: an n-gram
+   comes once from a chunk at most. For each n-gram one block is told to count it.
 3. Each block counts, of the n-grams it was told to, how many continue each history;
    the ranges add these up, again by the history's own key, and answer.
 4. Each block builds the part of the automaton that its n-grams make, and traverses
    its texts. Every arc or failure arc that a text of the block takes is in that part.
 
+Chunks and ranges exchange a row each with each. Both are as many as memory demands: a
+range's keys are in memory at once, a chunk's blocks one at a time and all else of it
+compressed. With many blocks a chunk has CHUNK_BLOCKS of them, so that at 30 GB a row
+still holds thousands of n-grams, and tasks work several chunks or ranges one by one.
+
 Smoothing is interpolated absolute discounting: for a history h seen C(h) times, with
 T(h) distinct continuations, P(w | h) = (max(c(hw) - D, 0) + D T(h) P(w | h')) / C(h),
 with h' the history without its first word; so D T(h) / C(h) is the failure arc's
@@ -39,10 +44,12 @@ one; other columns aren't read; of no texts there are no rows.
 from __future__ import annotations
 
 import gc
+import tempfile
 import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +61,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_BYTES, RANGE_KEYS, ORDER, MOST_PARTITIONS = 6 << 20, 1_500_000, 3, 20_000
+CHUNK_BLOCKS, LEAST_CHUNKS = 16, 64  # chunks grow up to so many blocks (by half more at most) once there are so many of them
+SLICES, HELD_BYTES, SHARED = 16, 32 << 20, 1 << 20  # a chunk's keys are merged in so many slices, beyond so many bytes they wait in a file; its answers are shared out by so many
 END = b"\x20"  # no word holds a blank
 START = 0  # a text's start, as a word of a block
 
@@ -240,34 +249,82 @@ def range_of(keys: np.ndarray, ranges: int, bits: int = 64) -> np.ndarray:
     return ((keys >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _parts(block: str, keys: np.ndarray, n: np.ndarray, ranges: int, bits: int) -> pa.RecordBatch:
-    """Sorted keys and numbers as one row for each range that has some."""
-    cut = np.searchsorted(range_of(keys, ranges, bits), np.arange(ranges + 1))
-    some = [(r, a, b) for r, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist())) if a < b]
+def chunks_of(blocks: DataFrame, n: int) -> tuple[DataFrame, str, int]:
+    """The n blocks kept with their chunk and their number in it, the place, and about how many chunks there are. Chunks are made of what is read together, without a shuffle."""
+    each = min(CHUNK_BLOCKS, max(1, n // LEAST_CHUNKS))
+    most, chunks = each + each // 2, -(-n // each)
+    at = F.col("at").bitwiseAND((1 << 33) - 1)  # place in the partition
+    numbered = blocks.coalesce(chunks).withColumn("at", F.monotonically_increasing_id())
+    return *common.keep(numbered.select(F.concat_ws("-", F.shiftright("at", 33), F.floor(at / most)).alias("chunk"), (at % most).cast("int").alias("nth"), *(c for c in blocks.columns if c != "block")), "chunks"), chunks
+
+
+def _parts(chunk: str, keys: np.ndarray, n: np.ndarray, who: np.ndarray, ranges: int, bits: int) -> pa.RecordBatch:
+    """Sorted keys, numbers and blocks as one row for each range that has some."""
+    span = range_of(keys, ranges, bits)
+    starts = np.flatnonzero(np.diff(span, prepend=-1)).tolist()
+    some = list(zip(span[starts].tolist(), starts, [*starts[1:], len(keys)]))
     return pa.RecordBatch.from_arrays(
-        [pa.array([block] * len(some), pa.string()), pa.array([r for r, _, _ in some], pa.int32()), pa.array([pack_keys(keys[a:b]) for _, a, b in some], pa.binary()), pa.array([pack(n[a:b]) for _, a, b in some], pa.binary())],
-        names=["block", "span", "keys", "n"],
+        [pa.array([chunk] * len(some), pa.string()), pa.array([r for r, _, _ in some], pa.int32()), *(pa.array([f(x[a:b]) for _, a, b in some], pa.binary()) for f, x in ((pack_keys, keys), (pack, n), (pack, who)))],
+        names=["chunk", "span", "keys", "n", "who"],
     )
 
 
-PARTS = "block string, span int, keys binary, n binary"
-ANSWERS = "block string, span int, data binary, tag int, value long, n long, total long"
+class _Asked:
+    """What a chunk's blocks ask, until each of its n-grams is asked once for all of them."""
+
+    def __init__(self, ranges: int, bits: int):
+        self.ranges, self.bits = ranges, bits
+        self.held, self.slices = tempfile.SpooledTemporaryFile(HELD_BYTES), [[] for _ in range(min(SLICES, ranges))]
+
+    def add(self, nth: int, keys: np.ndarray, n: np.ndarray) -> None:
+        """A block's sorted keys and their numbers."""
+        cut = np.searchsorted(range_of(keys, self.ranges, self.bits), np.arange(len(self.slices) + 1) * self.ranges // len(self.slices)).tolist()
+        for found, a, b in zip(self.slices, cut, cut[1:]):
+            if a < b:
+                raw = pack_keys(keys[a:b]), pack(n[a:b])
+                found.append((nth, self.held.tell(), *map(len, raw)))
+                self.held.write(b"".join(raw))
+
+    def parts(self, chunk: str) -> Iterator[pa.RecordBatch]:
+        with self.held:
+            for found in filter(None, self.slices):
+                keys, n, who = [], [], []
+                for nth, at, a, b in found:
+                    self.held.seek(at)
+                    keys.append(unpack_keys(self.held.read(a)))
+                    n.append(unpack(self.held.read(b)))
+                    who.append(np.full(len(n[-1]), 1 << nth, np.uint64))
+                keys, n, who = map(np.concatenate, (keys, n, who))
+                order = _order(keys)
+                keys = keys[order]
+                starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                yield _parts(chunk, keys[starts], np.add.reduceat(n[order], starts), np.add.reduceat(who[order], starts), self.ranges, self.bits)
+
+
+PARTS = "chunk string, span int, keys binary, n binary, who binary"
+PARTS_ARROW = pa.schema([("chunk", pa.string()), ("span", pa.int32()), *((c, pa.binary()) for c in ("keys", "n", "who"))])
+ANSWERS = "chunk string, span int, data binary, who binary, tag int, value long, n long, total long"
+MORE = "chunk string, span int, more binary, who binary"
 
 
 def _ask(order: int, ranges: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
+        rows = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(len(batch)))
+        for chunk, own in groupby(rows, key=lambda row: row["chunk"]):
+            asked = _Asked(ranges, bits)
+            for row in own:
                 b = Block(row["sizes"], row["train"], row["x"], row["words"], order, bits)
                 keys, place = b.sorted()
-                yield _parts(row["block"], keys, np.concatenate(b.own)[place], ranges, bits)
+                asked.add(row["nth"], keys, np.concatenate(b.own)[place])
+                del b, keys, place
+            yield from asked.parts(chunk)
 
     return run
 
 
 def _together(parts: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a range's rows: the rows in the blocks' order, their sizes, the order of all keys, where each distinct key starts in it, to which of these each belongs, and the numbers in that order."""
-    parts = parts.sort_by("block")
+    """Of a range's rows: the rows in the chunks' order, their sizes, the order of all keys, where each distinct key starts in it, to which of these each belongs, and the numbers in that order."""
+    parts = parts.sort_by("chunk")
     each = [unpack_keys(x.as_py()) for x in parts.column("keys")]
     sizes = [len(x) for x in each]
     keys = np.concatenate(each)
@@ -295,7 +352,7 @@ def _add(bits: int):
     start = _key(np.array([_START_HASH]), 1, np.array([False]), bits)[0]
 
     def run(key: tuple, parts: pa.Table) -> pa.Table:
-        """Answers of 2 * count + 1 where the block is the one to count the n-gram, else 2 * count; and counts of counts by the keys' last bits (-1 for START)."""
+        """Answers of 2 * count + 1 where the chunk is the one to count the n-gram, else 2 * count; and counts of counts by the keys' last bits (-1 for START)."""
         parts, sizes, order, starts, of, n, keys = _together(parts)
         total = np.add.reduceat(n, starts)
         yes = n > 0
@@ -311,7 +368,8 @@ def _add(bits: int):
         np.add.at(sums, inverse, total)
         a, s = len(data), len(codes)
         return pa.table({
-            "block": pa.array([*parts.column("block").to_pylist(), *[None] * s], pa.string()), "span": pa.array([*parts.column("span").to_pylist(), *[None] * s], pa.int32()), "data": pa.array([*data, *[None] * s], pa.binary()),
+            "chunk": pa.array([*parts.column("chunk").to_pylist(), *[None] * s], pa.string()), "span": pa.array([*parts.column("span").to_pylist(), *[None] * s], pa.int32()),
+            "data": pa.array([*data, *[None] * s], pa.binary()), "who": pa.array([*parts.column("who").to_pylist(), *[None] * s], pa.binary()),
             "tag": pa.array([*[None] * a, *((codes >> 56) - 1).tolist()], pa.int32()), "value": pa.array([*[None] * a, *(codes & ((1 << 56) - 1)).tolist()], pa.int64()), "n": pa.array([*[None] * a, *many.tolist()], pa.int64()), "total": pa.array([*[None] * a, *sums.tolist()], pa.int64()),
         })
 
@@ -320,7 +378,7 @@ def _add(bits: int):
 
 def _add_continuations(key: tuple, parts: pa.Table) -> pa.Table:
     parts, sizes, order, starts, of, n, _ = _together(parts)
-    return pa.table({"block": parts.column("block"), "span": parts.column("span"), "more": pa.array(_split(np.add.reduceat(n, starts)[of], order, sizes), pa.binary())})
+    return pa.table({"chunk": parts.column("chunk"), "span": parts.column("span"), "more": pa.array(_split(np.add.reduceat(n, starts)[of], order, sizes), pa.binary()), "who": parts.column("who")})
 
 
 @dataclass
@@ -422,49 +480,82 @@ class Automaton:
         return total
 
 
-def _given(group: pa.Table, order: int, bits: int) -> tuple[str, list, Block, np.ndarray, pa.Table]:
-    """A group's block, the answers' numbers in the order of the block's n-grams, and the answers."""
-    whole = group.filter(pc.is_valid(group.column("x")))
-    row = whole.slice(0, 1)
-    b = Block(*(row.column(c)[0].as_py() for c in ("sizes", "train", "x", "words")), order, bits)
-    parts = group.filter(pc.is_null(group.column("x"))).sort_by("span")
-    answer = np.concatenate([unpack(x.as_py()) for x in parts.column("data") if x.is_valid]).astype(np.int64)
-    _, place = b.sorted()
-    counts = np.empty(len(answer), np.int64)
-    counts[place] = answer
-    return row.column("block")[0].as_py(), row.column("ids").chunk(0).values, b, counts, parts
+def _shares(group: pa.Table, column: str, blocks: list[int]) -> dict[int, list[bytes]]:
+    """Each block's answers of a chunk in its sorted keys' order, compressed. Of a chunk that is to count an n-gram, the first block that holds it is."""
+    rows, data, who = np.flatnonzero(pc.is_valid(group.column(column)).to_numpy()), group.column(column), group.column("who")
+    rows = rows[np.argsort(group.column("span").take(pa.array(rows)).to_numpy(), kind="stable")].tolist()
+    out, x, w, size = {nth: [] for nth in blocks}, [], [], 0
+    for i in rows:
+        x.append(unpack(data[i].as_py()))
+        w.append(unpack(who[i].as_py()))
+        size += len(x[-1])
+        if size < SHARED and i != rows[-1]:
+            continue
+        x, w = np.concatenate(x), np.concatenate(w)
+        if column == "data":
+            told = x & np.uint64(1)
+            x -= told
+        for nth in blocks:
+            mine = np.flatnonzero(w & np.uint64(1 << nth))
+            own = x[mine]
+            if column == "data":
+                own |= told[mine] * (w[mine] & np.uint64((1 << nth) - 1) == 0)
+            out[nth].append(pack(own))
+        x, w, size = [], [], 0
+    return out
+
+
+def _given(group: pa.Table, order: int, bits: int) -> Iterator[tuple[int, int, Block, np.ndarray]]:
+    """Of a chunk's blocks, one at a time: the row, the number, itself, and the answers' numbers in the order of its n-grams."""
+    whole = np.flatnonzero(pc.is_valid(group.column("x")).to_numpy()).tolist()
+    nth = [group.column("nth")[i].as_py() for i in whole]
+    answers = _shares(group, "data", nth)
+    for i, k in zip(whole, nth):
+        b = Block(*(group.column(c)[i].as_py() for c in ("sizes", "train", "x", "words")), order, bits)
+        answer = np.concatenate([unpack(x) for x in answers.pop(k)]).astype(np.int64)
+        _, place = b.sorted()
+        counts = np.empty(len(answer), np.int64)
+        counts[place] = answer
+        del answer, place
+        yield i, k, b, counts
+        del b, counts
 
 
 def _ask_continuations(order: int, ranges: int, bits: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        name, _, b, answer, _ = _given(group, order, bits)
-        counts, teller = answer >> 1, np.split(answer & 1, b.cuts)
-        told = np.concatenate([np.bincount(b.history[k][teller[k] > 0], minlength=len(b.keys[k - 1])) for k in range(1, order)])
-        which = b.asked(counts)
-        keys = np.concatenate(b.keys[:-1])[which]
-        by = _order(keys)
-        return pa.Table.from_batches([_parts(name, keys[by], told[which][by], ranges, bits)])
+        asked = _Asked(ranges, bits)
+        for _, nth, b, answer in _given(group, order, bits):
+            counts, teller = answer >> 1, np.split(answer & 1, b.cuts)
+            told = np.concatenate([np.bincount(b.history[k][teller[k] > 0], minlength=len(b.keys[k - 1])) for k in range(1, order)])
+            which = b.asked(counts)
+            keys = np.concatenate(b.keys[:-1])[which]
+            by = _order(keys)
+            asked.add(nth, keys[by], told[which][by])
+            del b, answer, counts, teller, told, which, keys, by
+        return pa.Table.from_batches(asked.parts(key[0].as_py()), PARTS_ARROW)
 
     return run
 
 
 def _score(order: int, sums: Sums, bits: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        _, ids, b, answer, parts = _given(group, order, bits)
-        counts = answer >> 1
-        continued = (counts > 0).astype(np.int64)  # what was seen once goes on in one way
-        which = b.asked(counts)
-        more = [unpack(x.as_py()) for x in parts.column("more") if x.is_valid]
-        if more:
-            place = which[_order(np.concatenate(b.keys[:-1])[which])]
-            continued[place] = np.concatenate(more).astype(np.int64)
-        words = counts[: b.width].astype(np.float64)
-        model = Automaton(b, counts, continued, sums)
-        scores = model.traverse(b.first, b.sizes) if sums.tokens else np.zeros(len(b.sizes))
-        base = np.log10((words + 1) / (sums.tokens + sums.vocabulary + 1))
-        x = b.y[b.real]
-        starts = np.cumsum(b.sizes) - b.sizes
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(b.sizes), "n_known": pa.array(np.add.reduceat((words > 0).astype(np.int64)[x], starts)), "base_score": pa.array(np.add.reduceat(base[x], starts)), "score": pa.array(scores, pa.float64())})
+        out, more = [], _shares(group, "more", [n for n in group.column("nth").to_pylist() if n is not None])
+        for i, nth, b, answer in _given(group, order, bits):
+            counts = answer >> 1
+            continued = (counts > 0).astype(np.int64)  # what was seen once goes on in one way
+            which = b.asked(counts)
+            if more[nth]:
+                place = which[_order(np.concatenate(b.keys[:-1])[which])]
+                continued[place] = np.concatenate([unpack(x) for x in more.pop(nth)]).astype(np.int64)
+            words = counts[: b.width].astype(np.float64)
+            model = Automaton(b, counts, continued, sums)
+            scores = model.traverse(b.first, b.sizes) if sums.tokens else np.zeros(len(b.sizes))
+            base = np.log10((words + 1) / (sums.tokens + sums.vocabulary + 1))
+            x = b.y[b.real]
+            starts = np.cumsum(b.sizes) - b.sizes
+            out.append(pa.table({"doc_id": group.column("ids")[i].values, "n_tokens": pa.array(b.sizes), "n_known": pa.array(np.add.reduceat((words > 0).astype(np.int64)[x], starts)), "base_score": pa.array(np.add.reduceat(base[x], starts)), "score": pa.array(scores, pa.float64())}))
+            del b, answer, counts, continued, which, model, base, x
+        return pa.concat_tables(out)
 
     return run
 
@@ -486,24 +577,26 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("n-grams of one to four words are counted")
     spark = docs.sparkSession
     rows = common.texts(docs, id_col, text_col).withColumn("train", F.coalesce(training(F.col("doc_id")), F.lit(False)))
-    blocks, _ = blocks_of(rows)
+    blocks, place = blocks_of(rows)
     size = blocks.agg(F.count("*").alias("blocks"), F.sum("tokens").alias("tokens")).first()
     kind = docs.schema[id_col].dataType.simpleString()
     if not size.blocks:
         return spark.createDataFrame([], f"doc_id {kind}, {SCORED}, train_tokens long")
+    blocks, _, chunks = chunks_of(blocks, size.blocks)
+    common.drop_folder(spark, place)
     most = size.tokens * order * 6 // 10  # n-grams that blocks hold, about
     ranges, bits = max(1, -(-most // RANGE_KEYS)), bits_for(most)
-    to_ranges, to_blocks = (min(3 * n, MOST_PARTITIONS) for n in (ranges, size.blocks))  # so that they seldom meet in one
-    parts = common.map_batches(blocks, _ask(order, ranges, bits), PARTS)
+    to_ranges, to_chunks = (min(3 * n, 512 + n // 8, MOST_PARTITIONS) for n in (ranges, chunks))  # few seldom meet in one; many are worked one by one, since each task reads from each
+    parts = common.map_batches(blocks.drop("ids", "tokens"), _ask(order, ranges, bits), PARTS)
     answers, _ = common.keep(parts.repartition(to_ranges, "span").groupBy("span").applyInArrow(_add(bits), ANSWERS), "counts")
     _let_go(spark)
-    stats = answers.where("block is null").groupBy("tag", "value").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # a few thousand at most: values of more than ten bits are rounded
+    stats = answers.where("chunk is null").groupBy("tag", "value").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # a few thousand at most: values of more than ten bits are rounded
     sums = sums_of(stats, order)
-    given = blocks.unionByName(answers.where("block is not null").select("block", "span", "data"), allowMissingColumns=True).withColumn("more", F.lit(None).cast("binary"))
+    given = blocks.unionByName(answers.where("chunk is not null").select("chunk", "span", "data", "who"), allowMissingColumns=True).withColumn("more", F.lit(None).cast("binary"))
     if order > 1 and sums.tokens:
-        parts = given.repartition(to_blocks, "block").groupBy("block").applyInArrow(_ask_continuations(order, ranges, bits), PARTS)
-        more, _ = common.keep(parts.repartition(to_ranges, "span").groupBy("span").applyInArrow(_add_continuations, "block string, span int, more binary"), "continuations")
+        parts = given.repartition(to_chunks, "chunk").groupBy("chunk").applyInArrow(_ask_continuations(order, ranges, bits), PARTS)
+        more, _ = common.keep(parts.repartition(to_ranges, "span").groupBy("span").applyInArrow(_add_continuations, MORE), "continuations")
         _let_go(spark)
         given = given.unionByName(more, allowMissingColumns=True)
-    found = given.repartition(to_blocks, "block").groupBy("block").applyInArrow(_score(order, sums, bits), f"doc_id {kind}, {SCORED}")
+    found = given.repartition(to_chunks, "chunk").groupBy("chunk").applyInArrow(_score(order, sums, bits), f"doc_id {kind}, {SCORED}")
     return found.withColumn("train_tokens", F.lit(sums.tokens).cast("long"))
