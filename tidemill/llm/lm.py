@@ -25,7 +25,7 @@ out. Their number grows with the corpus, so that they are never whole in one pla
 Chunks and ranges exchange a row each with each. Both are as many as memory demands: a
 range's keys are in memory at once, a chunk's blocks one at a time and all else of it
 compressed. With many blocks a chunk has CHUNK_BLOCKS of them, so that at 30 GB a row
-still holds thousands of n-grams, and tasks work several chunks or ranges one by one.
+still holds more than a thousand n-grams, and tasks work several chunks or ranges one by one.
 
 Smoothing is interpolated absolute discounting: for a history h seen C(h) times, with
 T(h) distinct continuations, P(w | h) = (max(c(hw) - D, 0) + D T(h) P(w | h')) / C(h),
@@ -61,7 +61,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK_BYTES, RANGE_KEYS, ORDER, MOST_PARTITIONS = 6 << 20, 1_500_000, 3, 20_000
-CHUNK_BLOCKS, LEAST_CHUNKS = 16, 64  # chunks grow up to so many blocks (by half more at most) once there are so many of them
+CHUNK_BLOCKS, LEAST_CHUNKS = 8, 64  # chunks grow up to so many blocks (by half more at most) once there are so many of them
 SLICES, HELD_BYTES, SHARED = 16, 32 << 20, 1 << 20  # a chunk's keys are merged in so many slices, beyond so many bytes they wait in a file; its answers are shared out by so many
 END = b"\x20"  # no word holds a blank
 START = 0  # a text's start, as a word of a block
