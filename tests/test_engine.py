@@ -194,3 +194,13 @@ def test_missing_files_and_duplicate_tables(engine, tmp_path):
         engine.execute("SELECT * FROM t")
     with pytest.raises(ValueError):
         engine.execute("CREATE TABLE T (id INT) WITH (path='x')")
+
+
+def test_not_in_with_nulls(spark):
+    e = Engine(spark)
+    e.register("a", spark.sql("SELECT * FROM VALUES (1), (2), (NULL) AS t(k)"))
+    for rows, kept, shown in (("(1), (1)", [2], [False, True, None]), ("(1), (NULL)", [], [False, None, None]), ("(NULL)", [], [None, None, None])):
+        e.register("b", spark.sql(f"SELECT cast(v AS bigint) AS v FROM VALUES {rows} AS t(v)"))
+        assert [r.k for r in e.execute("SELECT k FROM a WHERE k NOT IN (SELECT v FROM b)").collect()] == kept
+        assert [r.x for r in e.execute("SELECT k, k NOT IN (SELECT v FROM b) AS x FROM a ORDER BY k IS NULL, k").collect()] == shown
+        assert e.execute("SELECT k FROM a WHERE k NOT IN (SELECT v FROM b WHERE v > 9)").count() == 3

@@ -68,3 +68,13 @@ def test_the_dialect_runs_no_python(spark):
             p = plan(run(spark, SF))
             assert "Python" not in p and "Arrow" not in p and "InPandas" not in p, name
             assert name in ("join_cross", "not_in_subquery", "exists_subquery", "not_exists_subquery", "histogram_numeric") or "CartesianProduct" not in p, name
+
+
+def test_not_in_is_no_broadcast_of_the_subquery(spark, engine):
+    """Nor of a nested one: both are anti joins over distinct keys, which shuffle where they are large."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for q in ("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)", "SELECT o_orderkey FROM orders WHERE o_custkey < 5 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"):
+            assert "Broadcast" not in plan(engine.execute(q)), q
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
