@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tidemill import Engine
+from tidemill.plans import rewrite
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,18 @@ def test_not_in_is_no_broadcast_of_the_subquery(spark, engine):
             assert "Broadcast" not in plan(engine.execute(q)), q
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_percentiles_of_many_values_are_not_gathered(spark, engine, monkeypatch):
+    """Equal to Spark's own, from the narrowed-down values alone: the fallback for small groups is cut off in the SQL."""
+    monkeypatch.setattr(rewrite, "HEAVY", 20)
+    for accuracy in (2000, 20):
+        monkeypatch.setattr(rewrite, "ACCURACY", accuracy)
+        for x, table, by in (("l_extendedprice", "lineitem", ""), ("l_quantity", "lineitem", "l_returnflag"), ("if(o_custkey % 7 = 0, NULL, o_totalprice)", "orders", "o_orderstatus")):
+            ps = ("0", "0.25", "'0.5'", "0.999", "1")
+            first, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+            sql = engine.rewritten(f"SELECT {first}{', '.join(f'PERCENTILE_APPROX({x}, {p}) AS p{k}' for k, p in enumerate(ps))} FROM {table}{group}")
+            assert " IS NULL, cast(" in sql
+            want = spark.sql(f"SELECT {first}{', '.join(f'percentile({x}, cast({p} as double)) AS p{k}' for k, p in enumerate(ps))} FROM {table}{group}")
+            assert sorted(spark.sql(sql.replace(" IS NULL, cast(", " IS NULL AND false, cast(")).collect()) == sorted(want.collect())
+    assert "CartesianProduct" not in plan(engine.execute("SELECT PERCENTILE_APPROX(l_extendedprice, 0.5) AS m FROM lineitem"))
